@@ -63,7 +63,7 @@ def _program(demand: np.ndarray, weights: np.ndarray, capacity: int, halves: dic
     x = need / fit
     split_rows = sorted(halves)
     for step in range(1, 12 * m + 1000):
-        price = cost @ inverse
+        price = np.einsum("i,ij->j", cost, inverse)
         column, c = None, 0.0
         # A slot may stay empty or hold the next smaller class; a piece may be cut.
         gains = [-price, price[:-1] - price[1:], np.array([price[i] - price[halves[i][0]] - price[halves[i][1]] for i in split_rows])]
@@ -87,7 +87,7 @@ def _program(demand: np.ndarray, weights: np.ndarray, capacity: int, halves: dic
             if value <= 1 + GAP:
                 break
             column, c, entry = counts.astype(float), 1.0, ("p", counts)
-        direction = inverse @ column
+        direction = np.einsum("ij,j->i", inverse, column)
         positive = direction > 1e-9
         if not positive.any():
             break
@@ -100,7 +100,7 @@ def _program(demand: np.ndarray, weights: np.ndarray, capacity: int, halves: dic
         inverse -= np.outer(direction, pivot)
         inverse[out] = pivot
         columns[out], cost[out] = entry, c
-        if step % 200 == 0:
+        if step % 500 == 0:  # one Newton step takes back the rounding errors of the updates
             basis = np.zeros((m, m))
             for j, (kind, what) in enumerate(columns):
                 if kind == "p":
@@ -113,8 +113,9 @@ def _program(demand: np.ndarray, weights: np.ndarray, capacity: int, halves: dic
                     basis[what, j] += 1
                     for h in halves[what]:
                         basis[h, j] -= 1
-            inverse = np.linalg.inv(basis)
-            x = inverse @ need
+            error = np.einsum("ij,jk->ik", basis, inverse)
+            inverse = 2 * inverse - np.einsum("ij,jk->ik", inverse, error)
+            x = np.einsum("ij,j->i", inverse, need)
     return columns, np.maximum(x, 0)
 
 
