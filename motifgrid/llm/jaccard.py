@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import slices
 from .components import connected_components
 from .exact_dedup import MAX_COUNTERS, SEGMENT
 from .shingles import mix, shingle_sets
@@ -33,6 +34,8 @@ COMMON = 8
 MAX_SUBSETS = 24
 #: Pairs that the last step may compare, per row of the lists; above it another pivot comes first.
 DIRECT = 4
+#: Characters of text that a worker turns into shingles at once.
+SLICE = 2_000_000
 #: Shingles that one range of the counting step holds, about.
 RANGE_SHINGLES = 1_000_000
 
@@ -76,8 +79,8 @@ def _count_shingles(batches: Iterator[pa.RecordBatch], width: int, ranges: int)
     Range -1 carries the sizes of the sets instead.
     """
     names = ["range", "prints", "counts"]
-    for batch in batches:
-        sets = list(shingle_sets(batch.column(0).to_pylist(), width))
+    for _, texts in slices(batches, 0, SLICE):
+        sets = list(shingle_sets(texts, width))
         sizes, many = np.unique(np.array([len(s) for s in sets], "<u4"), return_counts=True)
         rows = [(-1, sizes.tobytes(), many.astype("<u4").tobytes())]
         every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
@@ -175,9 +178,9 @@ def set_key(s: np.ndarray) -> bytes:
 
 def _signed(batches: Iterator[pa.RecordBatch], width: int, shared, t: Threshold) -> Iterator[pa.RecordBatch]:
     order = shared.value
-    for batch in batches:
+    for batch, texts in slices(batches, 1, SLICE):
         rows = []
-        for s in shingle_sets(batch.column(1).to_pylist(), width):
+        for s in shingle_sets(texts, width):
             sigs = signatures(s, order, t).view(np.int64) if len(s) else np.zeros(0, np.int64)
             rows.append((set_key(s), len(s), sigs))
         yield pa.RecordBatch.from_arrays(
@@ -215,9 +218,9 @@ def _wanted_bits(keys: DataFrame):
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int, wanted) -> Iterator[pa.RecordBatch]:
     bits = wanted.value
-    for batch in batches:
+    for _, texts in slices(batches, 0, SLICE):
         out: dict[bytes, bytes] = {}
-        for s in shingle_sets(batch.column(0).to_pylist(), width):
+        for s in shingle_sets(texts, width):
             key = set_key(s)
             at = int.from_bytes(key[:4], "little") & (MAX_COUNTERS - 1)
             if len(s) and bits[at >> 3] >> (7 - (at & 7)) & 1:

@@ -8,7 +8,7 @@ import numpy as np
 
 from .pretokenize import _mixed, span_hashes
 
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 
 
 def _weights(n: int) -> np.ndarray:
