@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import stage
+from .support import release, stage
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -36,8 +36,9 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = moved.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
-        current = stage(small)
+        last, current = current, stage(small)
         now = _fingerprint(current)
+        release(last)
         if now == seen:
             break
         seen = now

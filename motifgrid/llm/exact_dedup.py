@@ -21,15 +21,15 @@ COUNTERS_PER_ROW = 16
 MAX_COUNTERS = 1 << 27
 
 
-def _probes(hashes: np.ndarray, counters: int) -> np.ndarray:
-    """PROBES places for each 64-bit hash; all differ, as the step is odd."""
+def _probes(hashes: np.ndarray, counters: int, probes: int = PROBES) -> np.ndarray:
+    """The places of each 64-bit hash; all differ, as the step is odd."""
     h = hashes.view(np.uint64)
     step = (h >> np.uint64(32)) | np.uint64(1)
-    k = np.arange(PROBES, dtype=np.uint64)
+    k = np.arange(probes, dtype=np.uint64)
     return (h[:, None] + k * step[:, None]) & np.uint64(counters - 1)
 
 
-def _tally(batches: Iterator[pa.RecordBatch], counters: int) -> Iterator[pa.RecordBatch]:
+def _tally(batches: Iterator[pa.RecordBatch], counters: int, probes: int = PROBES) -> Iterator[pa.RecordBatch]:
     """Places touched once and more than once, by segment of the filter."""
 
     def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -45,7 +45,7 @@ def _tally(batches: Iterator[pa.RecordBatch], counters: int) -> Iterator[pa.Reco
 
     held, size = [], 0
     for batch in batches:
-        places = _probes(batch.column(0).to_numpy(zero_copy_only=False), counters).ravel()
+        places = _probes(batch.column(0).to_numpy(zero_copy_only=False), counters, probes).ravel()
         held.append(places)
         size += len(places)
         if size > 4_000_000:
@@ -69,7 +69,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([bits], pa.binary())], ["segment", "bits"])
 
 
-def repeat_filter(hashes: DataFrame, rows: int, max_counters: int = MAX_COUNTERS):
+def repeat_filter(hashes: DataFrame, rows: int, max_counters: int = MAX_COUNTERS, probes: int = PROBES):
     """First pass: a broadcast bitmap with no false negatives for repeated hashes.
 
     Map tasks tally their own places, merging tasks each hold some segments
@@ -79,13 +79,13 @@ def repeat_filter(hashes: DataFrame, rows: int, max_counters: int = MAX_COUNTERS
     counters = SEGMENT
     while counters < min(rows * COUNTERS_PER_ROW, max_counters):
         counters *= 2
-    tallied = hashes.mapInArrow(lambda it: _tally(it, counters), "segment int, touched binary, again binary")
+    tallied = hashes.mapInArrow(lambda it: _tally(it, counters, probes), "segment int, touched binary, again binary")
     merged = tallied.repartition("segment").mapInArrow(_merge, "segment int, bits binary")
     bits = np.zeros(counters // 8, np.uint8)
     for row in merged.toLocalIterator():
         at = row["segment"] * (SEGMENT // 8)
         bits[at : at + SEGMENT // 8] = np.frombuffer(row["bits"], np.uint8)
-    return hashes.sparkSession.sparkContext.broadcast((counters, bits))
+    return hashes.sparkSession.sparkContext.broadcast((counters, bits, probes))
 
 
 def maybe_repeated(hash_column: Column, shared) -> Column:
@@ -93,8 +93,8 @@ def maybe_repeated(hash_column: Column, shared) -> Column:
 
     @F.pandas_udf("boolean")
     def probe(h: pd.Series) -> pd.Series:
-        counters, bits = shared.value
-        places = _probes(h.to_numpy(np.int64), counters)
+        counters, bits, probes = shared.value
+        places = _probes(h.to_numpy(np.int64), counters, probes)
         got = bits[places >> np.uint64(3)] >> (np.uint64(7) - (places & np.uint64(7))).astype(np.uint8)
         return pd.Series((got & 1).all(axis=1))
 

@@ -19,14 +19,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices
 from .components import connected_components
-from .exact_dedup import MAX_COUNTERS, SEGMENT
+from .exact_dedup import MAX_COUNTERS, SEGMENT, maybe_repeated, repeat_filter
 from .shingles import mix, shingle_sets
-from .support import join_groups, stage
+from .support import join_groups, release, stage
 
 #: Shingles in this many sets and more come last in a prefix.
 COMMON = 8
@@ -36,8 +36,11 @@ MAX_SUBSETS = 24
 DIRECT = 4
 #: Characters of text that a worker turns into shingles at once.
 SLICE = 2_000_000
-#: Shingles that one range of the counting step holds, about.
+#: Shingles that one range of the counting step holds, about, and the bits of
+#: a shingle's print in it: as many cells as shingles, so two seldom share one.
+#: A shared cell only makes a rare shingle count as common, in every task alike.
 RANGE_SHINGLES = 1_000_000
+PRINT_BITS = 20
 
 
 @dataclass(frozen=True)
@@ -73,24 +76,40 @@ def choose_boundary(sizes: dict[int, int], list_length: float, t: Threshold) ->
     return min(range(MAX_SUBSETS + 1), key=cost)
 
 
+def _pack_prints(prints: np.ndarray) -> bytes:
+    """Ascending prints as gaps, low bytes first, then the others: most of those are zero."""
+    gaps = np.diff(prints, prepend=0).astype("<u4")
+    return gaps.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpack_prints(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64))
+
+
+def _print(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(32)) & np.uint64((1 << PRINT_BITS) - 1)
+
+
 def _count_shingles(batches: Iterator[pa.RecordBatch], width: int, ranges: int) -> Iterator[pa.RecordBatch]:
-    """Per range of hashes: 32-bit prints of the batch's shingles and their document counts.
+    """Per range of hashes: prints of a slice's shingles and their document counts.
 
     Range -1 carries the sizes of the sets instead.
     """
     names = ["range", "prints", "counts"]
-    for _, texts in slices(batches, 0, SLICE):
+    for _, texts in slices(batches, 0, 4 * SLICE):
         sets = list(shingle_sets(texts, width))
         sizes, many = np.unique(np.array([len(s) for s in sets], "<u4"), return_counts=True)
         rows = [(-1, sizes.tobytes(), many.astype("<u4").tobytes())]
         every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        of = (every % np.uint64(ranges)).astype(np.uint64)
-        keys, n = np.unique(of << np.uint64(32) | every >> np.uint64(32), return_counts=True)
-        cuts = np.searchsorted(keys, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(32))
-        low, n = (keys & np.uint64(0xFFFFFFFF)).astype("<u4"), np.minimum(n, 255).astype(np.uint8)
+        del sets
+        cells = (every % np.uint64(ranges)) << np.uint64(PRINT_BITS) | _print(every)
+        del every
+        keys, n = np.unique(cells, return_counts=True)
+        cuts = np.searchsorted(keys, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(PRINT_BITS))
+        low, n = (keys & np.uint64((1 << PRINT_BITS) - 1)).astype(np.int64), np.minimum(n, 255).astype(np.uint8)
         for r in np.flatnonzero(np.diff(cuts)).tolist():
             a, b = cuts[r], cuts[r + 1]
-            rows.append((r, low[a:b].tobytes(), n[a:b].tobytes()))
+            rows.append((r, _pack_prints(low[a:b]), n[a:b].tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), *[pa.array([x[i] for x in rows], pa.binary()) for i in (1, 2)]], names)
 
 
@@ -99,15 +118,14 @@ def _common_place(range_: np.ndarray, prints: np.ndarray, bits: int) -> np.ndarr
 
 
 def _common(pdf: pd.DataFrame, bits: int) -> pd.DataFrame:
-    """One range: how many shingles it has, their postings, and the filter places of the common ones."""
+    """One range: how many cells it fills, their postings, and the filter places of the common ones."""
     r = int(pdf["range"].iloc[0])
-    prints = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["prints"]])
-    n = np.concatenate([np.frombuffer(x, np.uint8) for x in pdf["counts"]]).astype(np.int64)
-    keys, back = np.unique(prints, return_inverse=True)
-    total = np.bincount(back, n)
-    hot = keys[total >= COMMON]
+    total = np.zeros(1 << PRINT_BITS, np.int64)
+    for prints, counts in zip(pdf["prints"], pdf["counts"], strict=True):
+        total[_unpack_prints(prints)] += np.frombuffer(counts, np.uint8)
+    hot = np.flatnonzero(total >= COMMON)
     places = _common_place(np.full(len(hot), r), hot, bits)
-    return pd.DataFrame([(r, len(keys), int(n.sum()), np.unique(places).astype("<u4").tobytes())], columns=["range", "n", "postings", "places"])
+    return pd.DataFrame([(r, int((total > 0).sum()), int(total.sum()), np.unique(places).astype("<u4").tobytes())], columns=["range", "n", "postings", "places"])
 
 
 @dataclass
@@ -120,7 +138,7 @@ class Order:
     boundary: int
 
     def common(self, s: np.ndarray) -> np.ndarray:
-        at = _common_place(s % np.uint64(self.ranges), s >> np.uint64(32), self.bits)
+        at = _common_place(s % np.uint64(self.ranges), _print(s), self.bits)
         return (self.bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
 
 
@@ -216,6 +234,20 @@ def _wanted_bits(keys: DataFrame):
     return keys.sparkSession.sparkContext.broadcast(bits)
 
 
+def _narrow(s: np.ndarray) -> bytes:
+    """The set's hashes cut to 48 bits, by which the few hundred shingles of two sets are still told apart."""
+    low = np.unique(s & np.uint64((1 << 48) - 1))
+    if len(low) < len(s):  # keep the size right
+        low = np.sort(np.concatenate([low, np.setdiff1d(np.arange(len(s), dtype=np.uint64), low)[: len(s) - len(low)]]))
+    return low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _widen(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def _sets(batches: Iterator[pa.RecordBatch], width: int, wanted) -> Iterator[pa.RecordBatch]:
     bits = wanted.value
     for _, texts in slices(batches, 0, SLICE):
@@ -224,12 +256,12 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int, wanted) -> Iterator[pa.
             key = set_key(s)
             at = int.from_bytes(key[:4], "little") & (MAX_COUNTERS - 1)
             if len(s) and bits[at >> 3] >> (7 - (at & 7)) & 1:
-                out[key] = s.astype("<u8").tobytes()
+                out[key] = _narrow(s)
         yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.binary())], ["key", "set"])
 
 
 def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
+    return pd.Series([len(np.intersect1d(_widen(x), _widen(y), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
@@ -242,9 +274,11 @@ def _verify(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
     salted = join_groups(pairs, copies, "a", "m", total).withColumn("salt", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int"))
     left = copies.join(sets, copies["a"] == sets["key"]).select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.col("set").alias("x"))
     both = salted.join(sets.select(F.col("key").alias("b"), F.col("set").alias("y")), "b").join(left, ["a", "salt"])
-    n, m = F.octet_length("x") / 8, F.octet_length("y") / 8
+    n, m = F.octet_length("x") / 6, F.octet_length("y") / 6
     o = F.col("o")
-    return both.withColumn("o", F.pandas_udf(_overlap, "long")("x", "y")).where(o * 100 >= (n + m - o) * t.percent).select("a", "b")
+    linked = stage(both.withColumn("o", F.pandas_udf(_overlap, "long")("x", "y")).where(o * 100 >= (n + m - o) * t.percent).select("a", "b"))
+    release(pairs, copies)
+    return linked
 
 
 def _length_ok(n: Column, m: Column, t: Threshold) -> Column:
@@ -287,16 +321,31 @@ def _links(lists: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
         else:
             apart = open_.where((F.col("comp") != F.col("pivot.comp")) & _length_ok(F.col("n"), F.col("pivot.n"), t))
             pairs = apart.select(F.col("pivot.key").alias("a"), F.col("key").alias("b")).distinct()
-        found = stage(_verify(pairs, sets, t))
+        found = _verify(pairs, sets, t)
         links = found if links is None else stage(links.unionByName(found))
         roots = stage(connected_components(links, "a", "b"))
         if turn and row[1] <= DIRECT * entries:
             break
+        release(tagged, facts)
         rest = open_.where(F.col("key") != F.col("pivot.key")).select("sig", "key", "n")
         turn += 1
     return links if links is not None else lists.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
 
 
+def _with_partners(entries: DataFrame, counts: DataFrame, t: Threshold) -> DataFrame:
+    """The lists of two and more; in all but the few largest, members whose
+    size rules out every other member of the list leave it."""
+    total = entries.count()
+    limit = max(64, total // 1000)
+    heavy = F.broadcast(counts.where(F.col("m") > limit))
+    stay = entries.join(heavy, "sig")
+    move = entries.join(heavy.select("sig"), "sig", "left_anti").join(counts.where(F.col("m") <= limit), "sig")
+    by_size = Window.partitionBy("sig").orderBy("n", "key")
+    near = move.withColumn("below", F.lag("n").over(by_size)).withColumn("above", F.lead("n").over(by_size))
+    fits = F.coalesce(_length_ok(F.col("n"), F.col("below"), t), F.lit(False)) | F.coalesce(_length_ok(F.col("n"), F.col("above"), t), F.lit(False))
+    return stage(stay.unionByName(near.where(fits).drop("below", "above")))
+
+
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
@@ -316,9 +365,14 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     # Equal sets are one class from here on; a class is as large as it likes.
     classes = stage(signed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")))
     shown = signed.where("n > 0").groupBy("key").agg(F.any_value("n").alias("n"), F.any_value("sigs").alias("sigs"))
-    entries = stage(shown.select(F.explode("sigs").alias("sig"), "key", "n"))
+    shown = stage(shown)
+    each = shown.select(F.explode("sigs").alias("sig"), "key", "n")
+    shared_sigs = repeat_filter(each.select("sig"), shown.agg(F.sum(F.size("sigs"))).first()[0] or 0, probes=2)
+    entries = stage(each.where(maybe_repeated(F.col("sig"), shared_sigs)))
+    release(shown)
     counts = stage(entries.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1"))
-    lists = stage(join_groups(entries, counts, "sig", "m", entries.count()))
+    lists = _with_partners(entries, counts, t)
+    release(entries, counts)
 
     wanted = _wanted_bits(lists.select("key").distinct())
     sets = base.select("text").mapInArrow(lambda it: _sets(it, width, wanted), "key binary, set binary")
@@ -337,8 +391,14 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component stays (the one with its component's id), with all its columns.
 
-    Needs unique ids. Documents that go are joined out by id; rows without an id stay.
+    Needs unique ids. Documents that go are taken out by id; rows without an id stay.
     """
     found = jaccard_components(docs, doc_id, text, width, percent)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_mg_gone"))
-    return docs.join(gone, docs[doc_id] == gone["_mg_gone"], "left_anti")
+    gone = stage(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_mg_gone")).distinct())
+    hashes = gone.select(F.xxhash64("_mg_gone").alias("h"))
+    # Each id enters the filter twice, so "possibly repeated" says "possibly gone"; only those rows shuffle.
+    maybe = maybe_repeated(F.xxhash64(F.col(doc_id)), repeat_filter(hashes.unionAll(hashes), 2 * gone.count()))
+    marked = docs.withColumn("_mg_maybe", maybe)
+    stay = marked.where(~F.col("_mg_maybe")).drop("_mg_maybe")
+    some = marked.where("_mg_maybe").drop("_mg_maybe")
+    return stay.unionByName(some.join(gone, some[doc_id] == gone["_mg_gone"], "left_anti"))

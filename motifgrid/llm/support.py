@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,7 +48,22 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = staged_path(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._staged = path
+    return back
+
+
+def release(*staged: DataFrame | None) -> None:
+    """Delete staged tables that nothing reads any more, and let Spark drop
+    the shuffle files behind them (its cleaner follows the driver's garbage)."""
+    for df in staged:
+        path = getattr(df, "_staged", None)
+        if path:
+            spark = df.sparkSession
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    gc.collect()
+    SparkSession.active().sparkContext._jvm.System.gc()
 
 
 def bind(df: DataFrame, **exprs: Column) -> DataFrame:
