@@ -1 +1 @@
-"""Graph pattern counting on Spark."""
+"""Column functions on adjacency arrays."""

@@ -1 +1 @@
-"""Graph pattern counting on Spark."""
+"""DataFrame operators on graphs."""

@@ -1 +1 @@
-"""Graph pattern counting on Spark."""
+"""Patterns and planning, on the driver."""

@@ -1 +1 @@
-"""Graph pattern counting on Spark."""
+"""Readers and writers."""

@@ -1 +1 @@
-"""Graph pattern counting on Spark."""
+"""Counts kept up to date over edge streams."""
