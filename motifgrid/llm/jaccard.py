@@ -26,7 +26,7 @@ from .bpe import slices
 from .components import connected_components
 from .exact_dedup import MAX_COUNTERS, SEGMENT, maybe_repeated, repeat_filter
 from .shingles import mix, shingle_sets
-from .support import join_groups, release, stage
+from .support import join_groups, release, small_batches, stage
 
 #: Shingles in this many sets and more come last in a prefix.
 COMMON = 8
@@ -36,6 +36,8 @@ MAX_SUBSETS = 24
 DIRECT = 4
 #: Characters of text that a worker turns into shingles at once.
 SLICE = 2_000_000
+#: Pairs of sets that reach a worker at once.
+PAIR_BATCH = 100
 #: Shingles that one range of the counting step holds, about, and the bits of
 #: a shingle's print in it: as many cells as shingles, so two seldom share one.
 #: A shared cell only makes a rare shingle count as common, in every task alike.
@@ -276,7 +278,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
     both = salted.join(sets.select(F.col("key").alias("b"), F.col("set").alias("y")), "b").join(left, ["a", "salt"])
     n, m = F.octet_length("x") / 6, F.octet_length("y") / 6
     o = F.col("o")
-    linked = stage(both.withColumn("o", F.pandas_udf(_overlap, "long")("x", "y")).where(o * 100 >= (n + m - o) * t.percent).select("a", "b"))
+    linked = both.withColumn("o", F.pandas_udf(_overlap, "long")("x", "y")).where(o * 100 >= (n + m - o) * t.percent).select("a", "b")
+    with small_batches(pairs.sparkSession, PAIR_BATCH):
+        linked = stage(linked)
     release(pairs, copies)
     return linked
 

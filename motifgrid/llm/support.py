@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -66,6 +67,21 @@ def release(*staged: DataFrame | None) -> None:
     SparkSession.active().sparkContext._jvm.System.gc()
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Arrow batches of at most so many rows for what runs inside: for wide rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def bind(df: DataFrame, **exprs: Column) -> DataFrame:
     """Add columns that are evaluated exactly once.
 
