@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
@@ -23,15 +22,16 @@ class PatternInfo:
 
 @udtf(returnType="vertices array<bigint>")
 class GraphMatch:
-    """Matches of a pattern in one partition's edges ``(pattern, u, v)``; meant for many small graphs."""
+    """Matches in each partition of a table ``(pattern, u, v)``; meant for many small graphs,
+    as in ``graph_match(table(...) partition by graph_id)``."""
 
     def __init__(self):
         self.pattern, self.pairs = "", []
 
-    def eval(self, pattern: str, u: int, v: int):
-        self.pattern = pattern
-        if u != v:
-            self.pairs.append((u, v))
+    def eval(self, row):
+        self.pattern = row["pattern"]
+        if row["u"] != row["v"]:
+            self.pairs.append((row["u"], row["v"]))
 
     def terminate(self):
         if not self.pattern:
@@ -46,7 +46,7 @@ class GraphMatch:
 
         def extend(bound: dict[int, int]):
             if len(bound) == p.n:
-                yield (np.array([bound[i] for i in range(p.n)]).tolist(),)
+                yield ([bound[i] for i in range(p.n)],)
                 return
             v = order[len(bound)]
             back = [bound[u] for u in bound if u in p.adjacent[v]]
