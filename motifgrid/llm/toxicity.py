@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -11,14 +12,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .support import stage
 
 #: Bound on the labelled rows that the classifier is fitted on (the first by a hash of their id).
-MAX_LABELLED = 40_000
+MAX_LABELLED = 20_000
 #: Bound on the words of the classifier's lexicon.
 MAX_LEXICON = 2_000
 #: Beginnings of words that count as features beside the words, marked by a star: inflected forms share them.
@@ -36,12 +36,16 @@ LEET = {
 #: Log-probabilities of the channel: a letter written as a sign, doubled, or set apart.
 LOG_SIGN, LOG_REPEAT, LOG_SPACE, LOG_KEEP = math.log(0.05), math.log(0.05), math.log(0.02), math.log(0.9)
 
-WORD = regex.compile(r"\p{L}+")
-#: Runs that may be disguised: a letter next to a sign, a letter three times, or single letters set apart.
-DISGUISED = regex.compile(
-    r"(?<![^\s])\S*(?:\p{L}[0-9@$!|+(<€£¡]+\p{L}|(?<!\S)[0-9@$!|+(<€£¡]\p{L}|(\p{L})\1\1)\S*"
-    r"|(?<![\p{L}\p{N}])\p{L}(?:[ .\-_*]\p{L}){2,}(?![\p{L}\p{N}])"
-)
+LETTER = r"[^\W\d_]"
+SIGN = r"[0-9@$!|+(<€£¡]"
+WORD = re.compile(LETTER + "+")
+#: A token that may be disguised: a sign beside letters, a letter three times, or letters set apart by marks.
+SUSPECT = re.compile(rf"{LETTER}{SIGN}+{LETTER}|^{SIGN}{LETTER}|({LETTER})\1\1|^{LETTER}(?:[.\-_*]{LETTER}){{2,}}\W*$")
+#: Single letters set apart by blanks.
+SPACED = re.compile(rf"(?<!\S){LETTER}(?: {LETTER}){{2,}}(?!\S)")
+#: No word is longer than this; a longer run still counts by its plain words.
+LONGEST = 64
+CACHE_TOKENS = 1_000_000
 
 
 @dataclass
@@ -121,19 +125,45 @@ def _prefixes(lexicon: frozenset[str]) -> frozenset[str]:
     return frozenset(w[:i] for w in lexicon for i in range(1, len(w) + 1)) | {""}
 
 
-def words_of(text: str, model: CharModel, lexicon: frozenset[str], cache: dict[str, str]) -> set[str]:
-    """Distinct lower-cased words of a text, with disguised runs restored."""
-    found = set(WORD.findall(text.lower()))
-    for m in DISGUISED.finditer(text):
-        run = m[0]
-        if len(run) > 64:
-            continue  # no word is that long; its plain words are counted above
-        if run not in cache:
-            if len(cache) > 200_000:
-                cache.clear()
-            cache[run] = decode(run, model, lexicon)
-        found.add(cache[run])
-    return found
+class Reader:
+    """Words of texts with disguised runs restored; what a token holds is worked out once.
+
+    ``of`` turns a token's words into what is kept of it.
+    """
+
+    def __init__(self, model: CharModel, lexicon: frozenset[str], of=frozenset):
+        self.model, self.lexicon, self.of = model, lexicon, of
+        self.cache: dict[str, frozenset] = {}
+        self.empty: set[str] = set()
+
+    def restored(self, run: str) -> str:
+        return decode(run, self.model, self.lexicon) if len(run) <= LONGEST else run
+
+    def _token(self, token: str) -> frozenset:
+        words = set(WORD.findall(token.lower()))
+        if len(token) <= LONGEST and SUSPECT.search(token):
+            words.add(self.restored(token))
+        return frozenset(self.of(words))
+
+    def read(self, text: str) -> set[str]:
+        tokens = text.split()
+        if len(self.cache) + len(self.empty) > CACHE_TOKENS:
+            self.cache.clear()
+            self.empty.clear()
+        found: set[str] = set()
+        for token in set(tokens) - self.empty:
+            got = self.cache.get(token)
+            if got is None:
+                got = self._token(token)
+                if got:
+                    self.cache[token] = got
+                else:
+                    self.empty.add(token)
+            found |= got
+        if list(map(len, tokens)).count(1) > 2:
+            for m in SPACED.finditer(text):
+                found |= self.of({self.restored(m[0])})
+        return found
 
 
 def features(words: set[str]) -> set[str]:
@@ -154,8 +184,19 @@ class Model:
         """Whole words, towards which disguised runs are restored."""
         return frozenset(w for w in self.weights if not w.endswith("*"))
 
-    def score(self, words: set[str]) -> float:
-        z = self.bias + sum(self.weights[f] for f in features(words) & self.weights.keys())
+    def reader(self) -> Reader:
+        known = frozenset(self.weights)
+        starts = {f.rstrip("*")[: STEMS[0]] for f in known}
+
+        def of(words: set[str]) -> set[str]:
+            near = {w for w in words if w[: STEMS[0]] in starts}
+            return features(near) & known if near else near
+
+        return Reader(self.chars, self.lexicon, of)
+
+    def score(self, found: set[str]) -> float:
+        """From what the reader found in a text."""
+        z = self.bias + sum(self.weights[f] for f in sorted(found))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -170,12 +211,13 @@ def _ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
         for t in batch.column(0).to_pylist():
             if t:
-                words.update(WORD.findall(t.lower()))
+                words.update(t.lower().split())
         grams: Counter = Counter()
-        for w, n in words.items():
-            for k in (1, 2, 3):
-                for i in range(len(w) - k + 1):
-                    grams[w[i : i + k]] += n
+        for token, n in words.items():
+            for w in WORD.findall(token):
+                for k in (1, 2, 3):
+                    for i in range(len(w) - k + 1):
+                        grams[w[i : i + k]] += n
         yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["gram", "n"])
 
 
@@ -187,22 +229,20 @@ def char_model(texts: DataFrame, text: str = "text", most: int = 200_000) -> Cha
 
 def _count_features(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     """Documents per feature and label, summed per batch; the documents' own number is feature ''."""
-    chars, lexicon = shared.value
-    cache: dict[str, str] = {}
+    reader = Reader(*shared.value, features)
     for batch in batches:
         counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for t, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts[int(bool(toxic))].update(features(words_of(t or "", chars, lexicon, cache)) | {""})
+            counts[int(bool(toxic))].update(reader.read(t or "") | {""})
         rows = [(f, k, n) for k, c in counts.items() for f, n in c.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], ["f", "toxic", "n"])
 
 
 def _hits(batches: Iterator[pa.RecordBatch], shared, listed: frozenset[str]) -> Iterator[pa.RecordBatch]:
     """The features of the lexicon that each document has."""
-    chars, lexicon = shared.value
-    cache: dict[str, str] = {}
+    reader = Reader(*shared.value, lambda words: features(words) & listed)
     for batch in batches:
-        sets = [sorted(features(words_of(t or "", chars, lexicon, cache)) & listed) for t in batch.column(0).to_pylist()]
+        sets = [sorted(reader.read(t or "")) for t in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.string())), batch.column(1)], ["hits", "toxic"])
 
 
@@ -264,10 +304,9 @@ def _logistic(facts: pd.DataFrame, lexicon: list[str], steps: int = 400) -> tupl
 
 def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     model = shared.value
-    lexicon = model.lexicon
-    cache: dict[str, str] = {}
+    reader = model.reader()
     for batch in batches:
-        scores = [model.score(words_of(t or "", model.chars, lexicon, cache)) for t in batch.column(1).to_pylist()]
+        scores = [model.score(reader.read(t or "")) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
 
@@ -286,8 +325,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
 
 def restore(text: str, model: Model) -> str:
     """The text with its disguised runs written plainly."""
-    lexicon = model.lexicon
-    return DISGUISED.sub(lambda m: decode(m[0], model.chars, lexicon) if len(m[0]) <= 64 else m[0], text)
-
-
-__all__ = ["CharModel", "Model", "char_model", "decode", "fit", "held_out", "lattice", "restore", "score_toxicity", "words_of"]
+    reader = model.reader()
+    text = SPACED.sub(lambda m: reader.restored(m[0]), text)
+    return re.sub(r"\S+", lambda m: reader.restored(m[0]) if SUSPECT.search(m[0]) else m[0], text)
