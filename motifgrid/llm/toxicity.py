@@ -259,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     known = known.where(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("toxic").alias("toxic"))
     picked = known.orderBy(F.xxhash64("_id"), "_id").limit(most)
     rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    train = stage(rows.join(picked, "_id").select("_id", "text", "toxic"))
+    train = stage(rows.join(F.broadcast(picked), "_id").select("_id", "text", "toxic"))
     chars = char_model(docs, text)
     model = Model({}, -5.0, chars)
     for _ in range(2):
