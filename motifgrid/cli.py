@@ -36,7 +36,7 @@ def main(args: list[str] | None = None) -> int:
     else:
         patterns = load_directory(got.q) if Path(got.q).is_dir() else {Path(got.q).name: Pattern.load(got.q)}
     if len(patterns) > 1:
-        g.cache()
+        g = g.cache()
     lines = []
     for name, p in patterns.items():
         began = time.time()

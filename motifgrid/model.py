@@ -31,9 +31,16 @@ class Graph:
     edges, all with label 0.
     """
 
-    def __init__(self, edges: DataFrame, vertices: DataFrame | None = None):
-        self.edges = edges
+    def __init__(self, edges: DataFrame, vertices: DataFrame | None = None, keep: bool = False):
+        """``keep``: relations that several steps read (edges, adjacency,
+        triangles) stay in memory and on disk; a lost part is computed again."""
+        self.keep = keep
+        self.edges = self.kept(edges)
         self._vertices = vertices
+        self.memo: dict[str, DataFrame] = {}
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        return df.persist() if self.keep else df
 
     @classmethod
     def from_edges(cls, edges: DataFrame, u: str = "u", v: str = "v", vertices: DataFrame | None = None) -> Graph:
@@ -58,7 +65,7 @@ class Graph:
     def adj(self) -> DataFrame:
         """``(u, nb ascending, deg)``."""
         lists = self.sym.groupBy("u").agg(F.array_sort(F.collect_list("v")).alias("nb"))
-        return lists.withColumn("deg", F.size("nb").cast("long"))
+        return self.kept(lists.withColumn("deg", F.size("nb").cast("long")))
 
     @functools.cached_property
     def degrees(self) -> DataFrame:
@@ -88,16 +95,15 @@ class Graph:
         return {0: self.sym, 1: self.edges, 2: self.edges.select(F.col("v").alias("u"), F.col("u").alias("v"))}[kind]
 
     def with_labels(self, vertices: DataFrame) -> Graph:
-        return Graph(self.edges, vertices)
+        return Graph(self.edges, vertices, self.keep)
 
     def unlabelled(self) -> Graph:
         """The graph with every label 0."""
         return Graph(self.edges, self.vertices.select("v", F.lit(0).cast("long").alias("label")))
 
     def cache(self) -> Graph:
-        """Keep the adjacency in memory and on disk for several patterns."""
-        self.__dict__["adj"] = self.adj.persist()
-        return self
+        """The same graph, kept for several patterns."""
+        return Graph(self.edges, self._vertices, keep=True)
 
     @functools.cached_property
     def stats(self) -> Stats:

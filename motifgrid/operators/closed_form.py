@@ -18,11 +18,14 @@ def _total(x: Column) -> Column:
 
 def triangles(g: Graph) -> DataFrame:
     """``(v0 < v1 < v2)``, each once; neighbours out along the degree order are intersected."""
+    if "triangles" in g.memo:
+        return g.memo["triangles"]
     out = g.oriented.groupBy("a").agg(F.collect_list("b").alias("out"))
     pairs = g.oriented.join(out, "a").join(out.toDF("b", "out2"), "b")
     found = pairs.select("a", "b", F.explode(F.array_intersect("out", "out2")).alias("c"))
     three = F.array_sort(F.array("a", "b", "c"))
-    return found.select(*[three[i].alias(f"v{i}") for i in range(3)])
+    g.memo["triangles"] = g.kept(found.select(*[three[i].alias(f"v{i}") for i in range(3)]))
+    return g.memo["triangles"]
 
 
 def edge_triangles(g: Graph) -> DataFrame:

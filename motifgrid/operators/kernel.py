@@ -67,5 +67,5 @@ def count(g: Graph, p: Pattern, budget: int = BUDGET) -> DataFrame:
                     total += 1 if p.n == 2 else _search(lists, p, order, rules, {a: x, b: y})
         yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], ["n"])
 
-    tasks = g.sym.select("u", "v").repartition("u", "v")
+    tasks = g.sym.select("u", "v").repartition(4 * g.edges.sparkSession.sparkContext.defaultParallelism, "u", "v")
     return tasks.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_matches"))

@@ -42,7 +42,7 @@ def co_purchase(spark: SparkSession, sf_dir: str) -> Graph:
     """One scan of two columns; the self-join is on the order, of at most a few lines each."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_returnflag = 'R'").select("l_orderkey", "l_partkey").distinct()
     both = lines.toDF("o", "u").join(lines.toDF("o", "v"), "o").where("u < v")
-    return Graph(both.select("u", "v").distinct())
+    return Graph(both.select("u", "v").distinct(), keep=True)
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> Graph:
