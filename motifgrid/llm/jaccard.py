@@ -33,7 +33,7 @@ COMMON = 8
 #: Largest size for which subsets are considered at all.
 MAX_SUBSETS = 24
 #: Pairs that the last step may compare, per row of the lists; above it another pivot comes first.
-DIRECT = 4
+DIRECT = 8
 #: Characters of text that a worker turns into shingles at once.
 SLICE = 2_000_000
 #: Pairs of sets that reach a worker at once.
@@ -192,6 +192,22 @@ def signatures(s: np.ndarray, order: Order, t: Threshold) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """A bitmap of two to four bits per shingle: the places of the hashes' low bits."""
+    bits = 1 << max(6, (2 * len(s) - 1).bit_length())
+    at = np.zeros(bits, bool)
+    at[(s & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(at, bitorder="little").tobytes()
+
+
+def fewest_different(x: bytes, y: bytes) -> int:
+    """A lower bound of the shingles that only one of two sets has: every place
+    that one bitmap has alone stands for at least one. The longer bitmap is folded."""
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    b = np.bitwise_or.reduce(b.reshape(-1, len(a)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def set_key(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest()
 
@@ -202,10 +218,10 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int, shared, t: Threshold)
         rows = []
         for s in shingle_sets(texts, width):
             sigs = signatures(s, order, t).view(np.int64) if len(s) else np.zeros(0, np.int64)
-            rows.append((set_key(s), len(s), sigs))
+            rows.append((set_key(s), len(s), sigs, sketch(s)))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))],
-            ["doc_id", "key", "n", "sigs"],
+            [batch.column(0), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.binary())],
+            ["doc_id", "key", "n", "sigs", "sketch"],
         )
 
 
@@ -266,22 +282,43 @@ def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([len(np.intersect1d(_widen(x), _widen(y), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
-    """The linked ones of distinct pairs (a, b). A pivot's set is copied as often
-    as its pairs need tasks, so no pivot gathers all of its pairs in one."""
-    pairs = stage(pairs)
+def _beside(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
+    """Distinct pairs (a, b) with the value of both keys, as x and y. A pivot's
+    value is copied as often as its pairs need tasks, so no pivot gathers all
+    of its pairs in one."""
     total = pairs.count()
     per = max(64, total // 1000)
     copies = stage(pairs.groupBy("a").agg(F.count("*").alias("m")).withColumn("copies", F.ceil(F.col("m") / per).cast("int")))
     salted = join_groups(pairs, copies, "a", "m", total).withColumn("salt", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int"))
-    left = copies.join(sets, copies["a"] == sets["key"]).select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.col("set").alias("x"))
-    both = salted.join(sets.select(F.col("key").alias("b"), F.col("set").alias("y")), "b").join(left, ["a", "salt"])
-    n, m = F.octet_length("x") / 6, F.octet_length("y") / 6
+    left = copies.join(values, copies["a"] == values["key"]).select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.col(value).alias("x"), F.col("n").alias("na"))
+    right = values.select(F.col("key").alias("b"), F.col(value).alias("y"), F.col("n").alias("nb"))
+    return salted.join(right, "b").join(left, ["a", "salt"])
+
+
+def _verify(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, width: int, t: Threshold) -> DataFrame:
+    """The linked ones of distinct pairs (a, b).
+
+    Bitmaps rule out pairs that surely differ in too many shingles; only for
+    the keys of the others are whole sets made, from the texts.
+    """
+    spark = pairs.sparkSession
+    pairs = stage(pairs)
+    least = F.pandas_udf(lambda x, y: pd.Series([fewest_different(a, b) for a, b in zip(x, y, strict=True)], dtype="int64"), "long")
+    both = F.col("na") + F.col("nb")
+    maybe = _beside(pairs, sketches, "sketch").withColumn("d", least("x", "y"))
+    # intersection <= (both - d) / 2 and union >= (both + d) / 2
+    with small_batches(spark, 10 * PAIR_BATCH):
+        maybe = stage(maybe.where((both - F.col("d")) * 100 >= (both + F.col("d")) * t.percent).select("a", "b"))
+    release(pairs)
+    keys = maybe.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    wanted = _wanted_bits(keys)
+    sets = texts.mapInArrow(lambda it: _sets(it, width, wanted), "key binary, set binary")
+    sets = stage(sets.groupBy("key").agg(F.any_value("set").alias("set")).withColumn("n", (F.octet_length("set") / 6).cast("long")))
     o = F.col("o")
-    linked = both.withColumn("o", F.pandas_udf(_overlap, "long")("x", "y")).where(o * 100 >= (n + m - o) * t.percent).select("a", "b")
-    with small_batches(pairs.sparkSession, PAIR_BATCH):
-        linked = stage(linked)
-    release(pairs, copies)
+    linked = _beside(maybe, sets, "set").withColumn("o", F.pandas_udf(_overlap, "long")("x", "y"))
+    with small_batches(spark, PAIR_BATCH):
+        linked = stage(linked.where(o * 100 >= (both - o) * t.percent).select("a", "b"))
+    release(maybe, sets)
     return linked
 
 
@@ -289,7 +326,7 @@ def _length_ok(n: Column, m: Column, t: Threshold) -> Column:
     return (F.least(n, m) * 100) >= (F.greatest(n, m) * t.percent)
 
 
-def _links(lists: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
+def _links(lists: DataFrame, sketches: DataFrame, texts: DataFrame, width: int, t: Threshold) -> DataFrame:
     """Links (a, b) that connect whatever any links connect.
 
     ``lists`` (sig, key, n, m) has the members of each list of two and more.
@@ -325,7 +362,7 @@ def _links(lists: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
         else:
             apart = open_.where((F.col("comp") != F.col("pivot.comp")) & _length_ok(F.col("n"), F.col("pivot.n"), t))
             pairs = apart.select(F.col("pivot.key").alias("a"), F.col("key").alias("b")).distinct()
-        found = _verify(pairs, sets, t)
+        found = _verify(pairs, sketches, texts, width, t)
         links = found if links is None else stage(links.unionByName(found))
         roots = stage(connected_components(links, "a", "b"))
         if turn and row[1] <= DIRECT * entries:
@@ -364,24 +401,23 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     shared = spark.sparkContext.broadcast(_global_order(base.select("text"), width, t))
     kind = docs.schema[doc_id].dataType.simpleString()
-    signed = stage(base.mapInArrow(lambda it: _signed(it, width, shared, t), f"doc_id {kind}, key binary, n long, sigs array<long>"))
+    signed = stage(base.mapInArrow(lambda it: _signed(it, width, shared, t), f"doc_id {kind}, key binary, n long, sigs array<long>, sketch binary"))
 
     # Equal sets are one class from here on; a class is as large as it likes.
     classes = stage(signed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")))
-    shown = signed.where("n > 0").groupBy("key").agg(F.any_value("n").alias("n"), F.any_value("sigs").alias("sigs"))
+    shown = signed.where("n > 0").groupBy("key").agg(F.any_value("n").alias("n"), F.any_value("sigs").alias("sigs"), F.any_value("sketch").alias("sketch"))
     shown = stage(shown)
     each = shown.select(F.explode("sigs").alias("sig"), "key", "n")
     shared_sigs = repeat_filter(each.select("sig"), shown.agg(F.sum(F.size("sigs"))).first()[0] or 0, probes=2)
     entries = stage(each.where(maybe_repeated(F.col("sig"), shared_sigs)))
+    sketches = stage(shown.select("key", "n", "sketch"))
     release(shown)
     counts = stage(entries.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1"))
     lists = _with_partners(entries, counts, t)
     release(entries, counts)
 
-    wanted = _wanted_bits(lists.select("key").distinct())
-    sets = base.select("text").mapInArrow(lambda it: _sets(it, width, wanted), "key binary, set binary")
-    sets = stage(sets.groupBy("key").agg(F.any_value("set").alias("set")))
-    links = _links(lists, sets, t)
+    links = _links(lists, sketches, base.select("text"), width, t)
+    release(lists, sketches)
 
     roots = connected_components(links, "a", "b").select(F.col("node").alias("key"), "root")
     of = classes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
