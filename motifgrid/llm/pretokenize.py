@@ -122,7 +122,7 @@ def word_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _chunks(texts: list[str]):
-    """Groups of whole texts of about CHUNK characters, as ``(parts, index of each part's text)``.
+    """Groups of whole texts of about CHUNK characters, in their order, as ``(parts, index of each part's text)``.
 
     A longer text is cut before a blank that follows a non-blank: a word
     starts there whatever comes before.
@@ -133,6 +133,9 @@ def _chunks(texts: list[str]):
             cut = next((k for k in range(CHUNK, len(t)) if t[k] in " \n" and not t[k - 1].isspace()), None)
             if cut is None:
                 break
+            if parts:
+                yield parts, owner
+                parts, owner, size = [], [], 0
             yield [t[:cut]], [i]
             t = t[cut:]
         if size + len(t) > CHUNK and parts:

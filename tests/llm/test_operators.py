@@ -100,6 +100,18 @@ def test_bpe_cuts_long_texts(monkeypatch):
     assert ids.tolist() == [i for e in library().encode_batch([text, "next"], add_special_tokens=False) for i in e.ids]
 
 
+def test_bpe_keeps_order_around_long_texts(monkeypatch):
+    from motifgrid.llm import pretokenize
+
+    monkeypatch.setattr(pretokenize, "CHUNK", 10)
+    texts = ["ab", "cdefgh ijklmnop qrs", "", "tu", "vwxyzabcdefghijklm", "no", "short<|endoftext|> and some long text after it", "pq"]
+    assert [i for _, owner in pretokenize._chunks(texts) for i in owner] == sorted(i for _, owner in pretokenize._chunks(texts) for i in owner)
+    for from_library in (False, True):
+        ids, bounds = bpe.Encoder(bpe.default_vocabulary(), from_library).encode_batch(texts)
+        got = [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        assert got == [e.ids for e in library().encode_batch(texts, add_special_tokens=False)]
+
+
 def test_records(spark, docs, none):
     t = library()
     found = records.write_records(docs)
