@@ -18,12 +18,20 @@ from .support import join_groups, stage
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
+#: A private key from its first to its last line; without a last line, the header, header fields and base64 lines that follow.
+PEM = re.compile(
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    r"(?:(?P<body>(?:[^-]|-(?!----))*+)-----END [A-Z ]*PRIVATE KEY-----"
+    r"|(?P<rest>(?:(?:[\s\"'>+,]|\\[nrt])*+(?:(?:Proc-Type|DEK-Info):[^\r\n\\]*+|[A-Za-z0-9+/]{16,}+={0,2}))*+(?:(?:\s|\\[nrt])++[A-Za-z0-9+/]{1,15}+={0,2}(?=\s*\Z|[ \t\"']*[\r\n]))?))"
+)
+#: What differs between two ways of writing one key: line ends, also escaped ones, and quotes.
+WRAPPING = re.compile(r"\\[nrt]|[\s\"']")
 #: Kinds beyond the three base ones, in the order in which they sort.
 MORE = (
     ("github", re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}")),
     ("slack", re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}")),
     ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
-    ("pem", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")),
+    ("pem", PEM),
     ("login", re.compile(r"[a-z][a-z0-9+.-]{0,20}://[^\s:/@]{1,64}:[^\s:/@]{6,128}@")),
 )
 KINDS = ("assign", "access", "hex", *[k for k, _ in MORE])
@@ -42,6 +50,11 @@ def entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
 
 
+def _value(m: re.Match) -> str:
+    """What is owned: of a private key its body, otherwise the whole match."""
+    return WRAPPING.sub("", m["body"] or m["rest"] or "") if m.re is PEM else m[0]
+
+
 def find_spans(text: str) -> list[tuple[int, int, int, str]]:
     """``(start, kind, end, value)`` in code points, end exclusive, by start then kind."""
     found = [(m.start(), 0, m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 8] if "=" in text or ":" in text else []
@@ -49,7 +62,7 @@ def find_spans(text: str) -> list[tuple[int, int, int, str]]:
         found += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text)]
     for k, (_, pattern) in enumerate(MORE, BASE):
-        found += [(m.start(), k, m.end(), m[0]) for m in pattern.finditer(text)]
+        found += [(m.start(), k, m.end(), _value(m)) for m in pattern.finditer(text)]
     return sorted(found)
 
 
