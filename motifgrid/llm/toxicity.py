@@ -39,10 +39,11 @@ LOG_SIGN, LOG_REPEAT, LOG_SPACE, LOG_KEEP = math.log(0.05), math.log(0.05), math
 LETTER = r"[^\W\d_]"
 SIGN = r"[0-9@$!|+(<€£¡]"
 WORD = re.compile(LETTER + "+")
-#: A token that may be disguised: a sign beside letters, a letter three times, or letters set apart by marks.
-SUSPECT = re.compile(rf"{LETTER}{SIGN}+{LETTER}|^{SIGN}{LETTER}|({LETTER})\1\1|^{LETTER}(?:[.\-_*]{LETTER}){{2,}}\W*$")
-#: Single letters set apart by blanks.
-SPACED = re.compile(rf"(?<!\S){LETTER}(?: {LETTER}){{2,}}(?!\S)")
+SIGNS = re.compile(SIGN)
+THRICE = re.compile(rf"({LETTER})\1\1")
+#: Single letters or signs set apart by blanks or marks, between characters that are neither letters nor digits.
+ONE = r"(?:[^\W_]|[@$!|+(<€£¡])"
+SPACED = re.compile(rf"(?<![^\W_]){ONE}(?:[ .\-_*]{ONE}){{2,}}(?![^\W_])")
 #: No word is longer than this; a longer run still counts by its plain words.
 LONGEST = 64
 CACHE_TOKENS = 1_000_000
@@ -91,6 +92,11 @@ def lattice(run: str) -> list[list[tuple[str, float]]]:
     return out
 
 
+def suspect(token: str) -> bool:
+    """Whether a token may be disguised: letters and a sign, wherever, or a letter three times."""
+    return bool(SIGNS.search(token) and WORD.search(token) or THRICE.search(token))
+
+
 def decode(run: str, model: CharModel, lexicon: frozenset[str] = frozenset(), beam: int = 48) -> str:
     """The likeliest word behind a run: Viterbi over the lattice.
 
@@ -133,36 +139,37 @@ class Reader:
 
     def __init__(self, model: CharModel, lexicon: frozenset[str], of=frozenset):
         self.model, self.lexicon, self.of = model, lexicon, of
-        self.cache: dict[str, frozenset] = {}
-        self.empty: set[str] = set()
+        # Tokens, and runs of single letters as tuples of one.
+        self.cache: dict[str | tuple[str], frozenset] = {}
+        self.empty: set[str | tuple[str]] = set()
 
     def restored(self, run: str) -> str:
         return decode(run, self.model, self.lexicon) if len(run) <= LONGEST else run
 
     def _token(self, token: str) -> frozenset:
         words = set(WORD.findall(token.lower()))
-        if len(token) <= LONGEST and SUSPECT.search(token):
+        if len(token) <= LONGEST and suspect(token):
             words.add(self.restored(token))
         return frozenset(self.of(words))
 
+    def _run(self, run: str) -> frozenset:
+        return frozenset(self.of({self.restored(run)})) if WORD.search(run) else frozenset()
+
     def read(self, text: str) -> set[str]:
-        tokens = text.split()
         if len(self.cache) + len(self.empty) > CACHE_TOKENS:
             self.cache.clear()
             self.empty.clear()
         found: set[str] = set()
-        for token in set(tokens) - self.empty:
-            got = self.cache.get(token)
-            if got is None:
-                got = self._token(token)
-                if got:
-                    self.cache[token] = got
-                else:
-                    self.empty.add(token)
-            found |= got
-        if list(map(len, tokens)).count(1) > 2:
-            for m in SPACED.finditer(text):
-                found |= self.of({self.restored(m[0])})
+        for pieces, work in ((set(text.split()), self._token), ({(m[0],) for m in SPACED.finditer(text)}, lambda run: self._run(run[0]))):
+            for piece in pieces - self.empty:
+                got = self.cache.get(piece)
+                if got is None:
+                    got = work(piece)
+                    if got:
+                        self.cache[piece] = got
+                    else:
+                        self.empty.add(piece)
+                found |= got
         return found
 
 
@@ -326,5 +333,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
 def restore(text: str, model: Model) -> str:
     """The text with its disguised runs written plainly."""
     reader = model.reader()
-    text = SPACED.sub(lambda m: reader.restored(m[0]), text)
-    return re.sub(r"\S+", lambda m: reader.restored(m[0]) if SUSPECT.search(m[0]) else m[0], text)
+    text = SPACED.sub(lambda m: reader.restored(m[0]) if WORD.search(m[0]) else m[0], text)
+    return re.sub(r"\S+", lambda m: reader.restored(m[0]) if suspect(m[0]) else m[0], text)

@@ -296,6 +296,33 @@ def test_toxicity(spark, none):
     assert toxicity.score_toxicity(docs.limit(0), known).count() == 0
 
 
+BAD = ["blorgh", "snarfle", "grumpot", "dumbass", "asshole"]
+
+
+def toxic_reader():
+    grams = Counter(w[i : i + k] for w in [*WORDS, *BAD, "you", "are", "a", "classic", "hello"] for k in (1, 2, 3) for i in range(len(w) - k + 1))
+    chars = toxicity.CharModel({g.lower(): n for g, n in grams.items()})
+    return toxicity.Model(dict.fromkeys(BAD, 5.0), -4.0, chars).reader()
+
+
+@pytest.mark.parametrize("form", [
+    "s n a r f l e!", "s n a r f l e..., ", '"s n a r f l e"', "s-n a-r f-l e", "s.n.a.r f_l*e", "(s.n.a.r.f.l.e)", "snarfl3", "snarf|e", "dumba$$", "@$$hole", "$n@rfle!",
+    "s n 4 r f l e", "$ n a r f l 3", "bl0rgh", "gruuuumpot!", "S.N.A.R.F.L.E",
+])
+def test_toxicity_suspects_what_decodes(form):
+    reader = toxic_reader()
+    want = {toxicity.decode(form, reader.model, reader.lexicon)} & set(BAD)
+    assert len(want) == 1
+    for text in (form, f"the tree {form} walks", f"cloud, {form}\nrun"):
+        assert reader.read(text) == want
+
+
+def test_toxicity_clean_forms():
+    reader = toxic_reader()
+    for text in ("the 2019 cat", "a b c d e f g", "1 2 3 4 5", "hello! (river) a+b", "c l a s s i c", "snar 5 fle", "| a | b | c |"):
+        assert reader.read(text) == set()
+
+
 def test_secrets(spark, docs, none):
     found = {r["doc_id"]: r for r in secrets.scan_secrets(docs).collect()}
     texts = dict(TEXTS)
