@@ -44,8 +44,6 @@ THRICE = re.compile(rf"({LETTER})\1\1")
 #: Single letters or signs set apart by blanks or marks, between characters that are neither letters nor digits.
 ONE = r"(?:[^\W_]|[@$!|+(<€£¡])"
 SPACED = re.compile(rf"(?<![^\W_]){ONE}(?:[ .\-_*]{ONE}){{2,}}(?![^\W_])")
-#: No word is longer than this; a longer run still counts by its plain words.
-LONGEST = 64
 CACHE_TOKENS = 1_000_000
 
 
@@ -97,33 +95,80 @@ def suspect(token: str) -> bool:
     return bool(SIGNS.search(token) and WORD.search(token) or THRICE.search(token))
 
 
-def decode(run: str, model: CharModel, lexicon: frozenset[str] = frozenset(), beam: int = 48) -> str:
-    """The likeliest word behind a run: Viterbi over the lattice.
+def _unspaced(c: str) -> bool:
+    """A letter of the scripts that are written without blanks; it and any other may be of two words."""
+    return "\u0e00" <= c < "\u1c80" or c >= "\u2e80"
 
-    A state is the last two letters (all that the model looks at) and, while
-    the letters so far start a lexicon word, those letters; the best path into
-    each state is kept, ``beam`` states a step. A path that spells a lexicon
-    word is taken as a whole first.
+
+def decode(run: str, model: CharModel, lexicon: frozenset[str] = frozenset()) -> list[str]:
+    """The likeliest words behind a run, in order: Viterbi over the lattice.
+
+    A word is either spelt letter by letter under the character model, whose
+    state is its last two letters (all that the model looks at), or is a
+    lexicon word, whose state is its letters so far and which must be whole
+    where it ends. Words end at the end of the run, at a character taken as
+    noise that is no letter, and between scripts. The best path into each
+    state is kept, and no state is dropped; the work is linear in the run. A
+    run that spells one lexicon word is taken as that word first. A path is a
+    chain of (path before, letter); the letter '' ends a word.
     """
     prefixes = _prefixes(lexicon)
-    states: dict[tuple[str, str | None], tuple[float, str]] = {("", ""): (0.0, "")}
-    for ways in lattice(run.lower()):
-        following: dict[tuple[str, str | None], tuple[float, str]] = {}
-        for (tail, start), (score, word) in states.items():
+    log_known = math.log(0.6)
+    run = run.lower()
+    # The key is (last two letters, None) or (letters so far, True); at the start of a word both are ''.
+    states: dict[tuple[str, bool | None], tuple[float, tuple | None]] = {("", None): (0.0, None), ("", True): (0.0, None)}
+    single: dict[str, tuple[float, tuple | None]] = {"": (0.0, None)}  # paths that have spelt one lexicon word so far
+    previous = ""
+    for c, ways in zip(run, lattice(run), strict=True):
+        between = previous.isalpha() and c.isalpha() and _unspaced(previous) != _unspaced(c)
+        if between:
+            _restart(states, states, 0.0, lexicon)
+        following: dict[tuple[str, bool | None], tuple[float, tuple | None]] = {}
+        for (tail, known), (score, path) in states.items():
             for letter, cost in ways:
+                step, key, new = score + cost, (tail, known), path
                 if letter:
-                    key_start = start + letter if start is not None and start + letter in prefixes else None
-                    step = score + cost + (math.log(0.6) if key_start is not None else model.log(tail, letter))
-                    key, new = ((tail + letter)[-2:], key_start), word + letter
-                else:
-                    step, key, new = score + cost, (tail, start), word
+                    new = (path, letter)
+                    if known:
+                        if tail + letter not in prefixes:
+                            continue
+                        step, key = step + log_known, (tail + letter, True)
+                    else:
+                        step, key = step + model.log(tail, letter), ((tail + letter)[-2:], None)
                 if key not in following or following[key][0] < step:
                     following[key] = (step, new)
-        if len(following) > beam:
-            following = dict(sorted(following.items(), key=lambda x: -x[1][0])[:beam])
-        states = following
-    spelt = [s for (_, start), s in states.items() if start is not None and s[1] in lexicon]
-    return max(spelt or states.values())[1]
+        if not c.isalpha():
+            _restart(states, following, ways[-1][1], lexicon)
+        if single:
+            ahead: dict[str, tuple[float, tuple | None]] = {}
+            for start, (score, path) in single.items():
+                for letter, cost in ways:
+                    if start + letter in prefixes and (start + letter not in ahead or ahead[start + letter][0] < score + cost):
+                        ahead[start + letter] = (score + cost, (path, letter) if letter else path)
+            single = ahead
+        states, previous = following, c
+    whole = [(x[0], w) for w, x in single.items() if w in lexicon]
+    if whole:
+        return [max(whole)[1]]
+    ends = [x for (tail, known), x in states.items() if not known or not tail or tail in lexicon]
+    path = max(ends, key=lambda x: x[0])[1]
+    letters = []
+    while path is not None:
+        path, letter = path
+        letters.append(letter or " ")
+    return "".join(reversed(letters)).split()
+
+
+def _restart(states: dict, into: dict, cost: float, lexicon: frozenset[str]) -> None:
+    """Let words end in ``states``: the best path that can goes on at the start of a word in ``into``."""
+    ends = [x for (tail, known), x in states.items() if tail and (not known or tail in lexicon)]
+    if not ends:
+        return
+    score, path = max(ends, key=lambda x: x[0])
+    for known in (None, True):
+        key = ("", known)
+        if key not in into or into[key][0] < score + cost:
+            into[key] = (score + cost, (path, ""))
 
 
 @functools.lru_cache(8)
@@ -143,17 +188,14 @@ class Reader:
         self.cache: dict[str | tuple[str], frozenset] = {}
         self.empty: set[str | tuple[str]] = set()
 
-    def restored(self, run: str) -> str:
-        return decode(run, self.model, self.lexicon) if len(run) <= LONGEST else run
-
     def _token(self, token: str) -> frozenset:
         words = set(WORD.findall(token.lower()))
-        if len(token) <= LONGEST and suspect(token):
-            words.add(self.restored(token))
+        if suspect(token):
+            words.update(decode(token, self.model, self.lexicon))
         return frozenset(self.of(words))
 
     def _run(self, run: str) -> frozenset:
-        return frozenset(self.of({self.restored(run)})) if WORD.search(run) else frozenset()
+        return frozenset(self.of(set(decode(run, self.model, self.lexicon)))) if WORD.search(run) else frozenset()
 
     def read(self, text: str) -> set[str]:
         if len(self.cache) + len(self.empty) > CACHE_TOKENS:
@@ -332,6 +374,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
 
 def restore(text: str, model: Model) -> str:
     """The text with its disguised runs written plainly."""
-    reader = model.reader()
-    text = SPACED.sub(lambda m: reader.restored(m[0]) if WORD.search(m[0]) else m[0], text)
-    return re.sub(r"\S+", lambda m: reader.restored(m[0]) if suspect(m[0]) else m[0], text)
+    lexicon = model.lexicon
+
+    def plain(run: str) -> str:
+        return " ".join(decode(run, model.chars, lexicon))
+
+    text = SPACED.sub(lambda m: plain(m[0]) if WORD.search(m[0]) else m[0], text)
+    return re.sub(r"\S+", lambda m: plain(m[0]) if suspect(m[0]) else m[0], text)

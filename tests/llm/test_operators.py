@@ -306,17 +306,50 @@ def toxic_reader():
 
 
 @pytest.mark.parametrize("form", [
-    "s n a r f l e!", "s n a r f l e..., ", '"s n a r f l e"', "s-n a-r f-l e", "s.n.a.r f_l*e", "(s.n.a.r.f.l.e)", "snarfl3", "snarf|e", "dumba$$", "@$$hole", "$n@rfle!",
+    "s n a r f l e!", "s n a r f l e..., ", '"s n a r f l e"', "s-n a-r f-l e", "s.n.a.r f_l*e", "(s.n.a.r.f.l.e)", "you-s.n.a.r.f.l.e", "snarfl3", "snarf|e", "dumba$$", "@$$hole", "$n@rfle!",
     "s n 4 r f l e", "$ n a r f l 3", "bl0rgh", "gruuuumpot!", "S.N.A.R.F.L.E",
 ])
 def test_toxicity_suspects_what_decodes(form):
     reader = toxic_reader()
-    want = {toxicity.decode(form, reader.model, reader.lexicon)} & set(BAD)
+    want = set(toxicity.decode(form, reader.model, reader.lexicon)) & set(BAD)
     assert len(want) == 1
     for text in (form, f"the tree {form} walks", f"cloud, {form}\nrun"):
         assert reader.read(text) == want
 
 
+@pytest.mark.parametrize(("run", "want"), [
+    ("a s n a r f l e", {"snarfle"}), ("s n a r f l e b l o r g h", {"snarfle", "blorgh"}), ("you-bl0rgh", {"blorgh"}), ("y o u a r e a " * 20 + "s n a r f l e", {"snarfle"}),
+    ("s n a r f l e " + "y o u a r e a " * 20 + "g r u m p o t", {"snarfle", "grumpot"}), ("you/are/a/cl@ssic/" * 9 + "bl0rgh", {"blorgh"}), ("漢字bl0rgh漢字", {"blorgh"}), ("漢" * 90 + "snarfl3", {"snarfle"}),
+])
+def test_toxicity_finds_words_inside_runs(run, want):
+    assert toxic_reader().read(f"the {run} walks") == want
+
+
+def test_toxicity_decoder_is_exact_and_linear():
+    reader = toxic_reader()
+    chars, known = reader.model, reader.lexicon
+
+    def paths(ways, words, score):
+        """Every reading without a lexicon: letters, noise, and noise that ends a word."""
+        if not ways:
+            yield score, words
+            return
+        for letter, cost in ways[0]:
+            if letter:
+                yield from paths(ways[1:], [*words[:-1], words[-1] + letter], score + cost + chars.log(words[-1], letter))
+            else:
+                yield from paths(ways[1:], words, score + cost)
+                if words[-1] and cost != toxicity.LOG_REPEAT:
+                    yield from paths(ways[1:], [*words, ""], score + cost)
+
+    for run in ("b1g+d0g", "h3llo!!", "c@t 1n", "r1|v3r", "w-a l.k", "!1!|0"):
+        best = max(paths(toxicity.lattice(run), [""], 0.0), key=lambda x: x[0])[1]
+        assert toxicity.decode(run, chars) == [w for w in best if w]
+    start = time.perf_counter()
+    toxicity.decode("a1b2-!|c0" * 5000, chars, known)
+    assert time.perf_counter() - start < 20
+
+
 def test_toxicity_clean_forms():
     reader = toxic_reader()
     for text in ("the 2019 cat", "a b c d e f g", "1 2 3 4 5", "hello! (river) a+b", "c l a s s i c", "snar 5 fle", "| a | b | c |"):
