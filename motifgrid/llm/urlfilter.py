@@ -17,11 +17,11 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 
-CANONICAL = (
-    r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""",
-    r"""(?i)<link\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)[^>]*\brel\s*=\s*["']?canonical\b""",
+#: (tags, those that tie their page to a target, the target): attributes in any order, values with or without quotes.
+ALIASES = (
+    (r"(?i)<link\b[^>]*>", r"""(?i)(?<![\w-])rel\s*=\s*(?:"[^">]*\bcanonical\b|'[^'>]*\bcanonical\b|canonical\b)""", r"""(?i)(?<![\w-])href\s*=\s*["']?\s*([^"'\s>]+)"""),
+    (r"(?i)<meta\b[^>]*>", r"""(?i)(?<![\w-])http-equiv\s*=\s*["']?\s*refresh\b""", r"""(?i)(?<![\w-])url\s*=\s*["']?\s*([^"'\s>]+)"""),
 )
-REFRESH = r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*\burl\s*=\s*([^"'\s>]+)"""
 
 
 def _rest(url: Column) -> Column:
@@ -46,31 +46,51 @@ def _matching(host: Column, path: Column, rules) -> Column:
     return case
 
 
+def _without_dots(path: Column) -> Column:
+    """The path with its segments '.' and '..' resolved."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(x))),
+    )
+    end = F.when(F.element_at(parts, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), F.concat(F.array_join(kept, "/"), end)).otherwise(path)
+
+
 def _node(url: Column) -> Column:
-    """What identifies a page among links: no scheme, fragment or host case."""
-    rest = F.regexp_extract(_rest(url), r"^[^#]*", 0)
+    """What identifies a page among links: no scheme, fragment, host case or dot segments."""
+    rest = _rest(url)
     host = F.regexp_extract(rest, r"^[^/?#]*", 0)
-    return F.concat(ascii_lower(host), F.substring(rest, F.length(host) + 1, F.length(rest)))
+    path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
+    return F.concat(ascii_lower(host), _without_dots(path), F.regexp_extract(rest, r"^[^?#]*(\?[^#]*)", 1))
 
 
 def _absolute(base: Column, target: Column) -> Column:
     """Resolve a link target against its page."""
     scheme = F.regexp_extract(base, r"^([^:/?#]*)://", 1)
     origin = F.regexp_extract(base, r"^[^:/?#]*://[^/?#]*", 0)
-    folder = F.regexp_extract(base, r"^[^:/?#]*://[^/?#]*(?:[^?#]*/)?", 0)
+    folder = F.regexp_extract(base, r"^[^:/?#]*://[^/?#]*([^?#]*/)", 1)
     return (
-        F.when(F.instr(target, "://") > 0, target)
+        F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target)
         .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
         .when(target.startswith("/"), F.concat(origin, target))
-        .otherwise(F.concat(folder, target))
+        .when(target.startswith("#"), base)
+        .when(target.startswith("?"), F.concat(F.regexp_extract(base, r"^[^?#]*", 0), target))
+        .otherwise(F.concat(origin, F.when(folder == "", F.lit("/")).otherwise(folder), target))
     )
 
 
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``(url, target)`` for the canonical link and the refresh redirect of each page."""
+    """``(url, target)`` for every canonical link and refresh redirect of each page."""
     body = F.col(html)
-    found = F.array(*[F.regexp_extract(body, p, 1) for p in (*CANONICAL, REFRESH)])
-    tagged = pages.where(body.rlike(r"(?i)\brel\s*=\s*[\"']?canonical\b|\bhttp-equiv\s*=\s*[\"']?refresh\b"))
+
+    def targets(tag: str, ties: str, target: str) -> Column:
+        tags = F.filter(F.regexp_extract_all(body, F.lit(tag), F.lit(0)), lambda t: t.rlike(ties))
+        return F.transform(tags, lambda t: F.regexp_extract(t, target, 1))
+
+    found = F.concat(*[targets(*a) for a in ALIASES])
+    tagged = pages.where(body.rlike(r"(?i)<(?:link|meta)\b[^>]*\b(?:canonical|refresh)\b"))
     links = tagged.select(F.col(url).alias("url"), F.explode(F.array_distinct(found)).alias("target"))
     links = links.where((F.col("target") != "") & F.col("url").isNotNull())
     return links.select("url", _absolute(F.col("url"), F.col("target")).alias("target"))

@@ -148,6 +148,17 @@ def test_urls(spark):
     assert urlfilter.judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_urls_read_every_alias(spark):
+    rows = [
+        (1, "http://a.org/1", '<meta content="0;url=http://b.net/es/9" http-equiv=refresh>'), (2, "http://a.org/2", """<META HTTP-EQUIV="Refresh" CONTENT="0; URL='http://b.net/es/9'">"""),
+        (3, "http://a.org/3", '<link rel=canonical href="/free"><link href="http://b.net/es/9" rel="alternate canonical">'), (4, "http://a.org/x/y/4", "<link rel='canonical' href='../../1'>"),
+        (5, "http://a.org", '<link rel="canonical" href="./x/../2">'), (6, "http://a.org/x/6?p=1", '<link rel="canonical" href="?p=2">'), (7, "http://a.org/x/6?p=2", '<link rel="canonical" href="../../../3">'),
+        (8, "http://a.org/8", '<link rel="next" href="/1"><meta name="url" content="url=/1"><link rel="canonical" href="#top">'), (9, "http://a.org/9", '<link rel="canonical" data-href="/1" href="/8">'),
+    ]
+    got = {r["page_id"]: r["alias_blocked"] for r in urlfilter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: True, 2: True, 3: True, 4: True, 5: True, 6: True, 7: True, 8: False, 9: False}
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(35)] + [(i, i + 1) for i in range(100, 130)] + [(None, 1)]
