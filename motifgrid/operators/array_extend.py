@@ -22,12 +22,11 @@ def _seed(g: Graph, p: Pattern, order: list[int]) -> DataFrame:
     return g.adj.where(F.col("deg") >= len(p.adjacent[v])).select(F.col("u").alias(f"v{v}"), F.col("nb").alias(f"n{v}"))
 
 
-def _candidates(p: Pattern, order: list[int], at: int, rules: set[tuple[int, int]], ready: dict[frozenset, str]) -> Column:
-    """Candidates of ``order[at]``; the largest intersection already made is reused."""
+def _candidates(p: Pattern, order: list[int], at: int, rules: set[tuple[int, int]]) -> Column:
+    """Candidates of ``order[at]``, intersected anew at each step."""
     v, placed = order[at], order[:at]
     back = frozenset(p.adjacent[v]) & set(placed)
-    base = max((s for s in ready if s <= back), key=len, default=frozenset())
-    arrays = ([F.col(ready[base])] if base else []) + [F.col(f"n{u}") for u in sorted(back - base)]
+    arrays = [F.col(f"n{u}") for u in sorted(back)]
     above = [F.col(f"v{u}") for u in placed if (u, v) in rules]
     below = [F.col(f"v{u}") for u in placed if (v, u) in rules]
     other = [F.col(f"v{u}") for u in placed if u not in back and (u, v) not in rules and (v, u) not in rules]
@@ -41,7 +40,7 @@ def _extend(g: Graph, p: Pattern, order: list[int], upto: int, rules: set[tuple[
     adj = g.adj.select(F.col("u").alias("_u"), F.col("nb").alias("_nb"), F.col("deg").alias("_deg"))
     for at in range(1, upto):
         v = order[at]
-        df = df.withColumn(f"v{v}", F.explode(_candidates(p, order, at, rules, {})))
+        df = df.withColumn(f"v{v}", F.explode(_candidates(p, order, at, rules)))
         dead = [f"n{u}" for u in order[:at] if f"n{u}" in df.columns and not needs(u, at + 1)]
         df = df.drop(*dead)
         if needs(v, at + 1):
@@ -65,7 +64,7 @@ def count(g: Graph, p: Pattern, order: list[int] | None = None, rules=None) -> D
     if p.n == 1:
         return g.vertices.agg(F.count("*").alias("n_matches"))
     df = _extend(g, p, order, p.n - 1, rules)
-    last = F.size(_candidates(p, order, p.n - 1, rules, {})).cast("long")
+    last = F.size(_candidates(p, order, p.n - 1, rules)).cast("long")
     return df.agg(F.coalesce(F.sum(last), F.lit(0)).cast("long").alias("n_matches"))
 
 
