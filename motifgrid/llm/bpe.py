@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -156,44 +157,35 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.slot = np.zeros(0, np.int64)
+        self.known: dict[bytes, int] = {}
         self.flat = np.zeros(0, np.int32)
         self.offset = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
 
-    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if self.library is None:
-            return self.vocabulary.merge_words([w.encode() for w in words])
+            return self.vocabulary.merge_words(words)
         ids: list[int] = []
         sizes = []
         for w in words:
-            got = self.library.tokenize(w.encode().decode("latin-1").translate(self.letters))
+            got = self.library.tokenize(w.decode("latin-1").translate(self.letters))
             ids += [t.id for t in got]
             sizes.append(len(got))
         return np.array(ids, np.int64), np.array(sizes, np.int64)
 
-    def _slots(self, hashes: np.ndarray, word_at) -> np.ndarray:
-        """Where each hash's ids are kept; ``word_at(i)`` gives the word of a new one."""
+    def _slots(self, words: list[list[bytes]]) -> list[np.ndarray]:
+        """Where the ids of each list's words are kept; new words are encoded, all at once."""
         if len(self.known) > CACHE_WORDS:
             self.clear()
-        at = np.searchsorted(self.known, hashes)
-        hit = np.zeros(len(hashes), bool)
-        inside = at < len(self.known)
-        hit[inside] = self.known[at[inside]] == hashes[inside]
-        fresh = np.flatnonzero(~hit)
-        if len(fresh):
-            ids, sizes = self._encode_words([word_at(i) for i in fresh.tolist()])
-            begin = len(self.flat) + np.cumsum(sizes) - sizes
-            new = np.arange(len(self.size), len(self.size) + len(fresh))
+        known = self.known
+        fresh = list(dict.fromkeys(w for part in words for w in part if w not in known))
+        if fresh:
+            ids, sizes = self._encode_words(fresh)
+            known.update(zip(fresh, range(len(self.size), len(self.size) + len(fresh)), strict=True))
+            self.offset = np.concatenate([self.offset, len(self.flat) + np.cumsum(sizes) - sizes])
             self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
-            self.offset = np.concatenate([self.offset, begin])
             self.size = np.concatenate([self.size, sizes])
-            known = np.concatenate([self.known, hashes[fresh]])
-            order = np.argsort(known)
-            self.known, self.slot = known[order], np.concatenate([self.slot, new])[order]
-            at = np.searchsorted(self.known, hashes)
-        return self.slot[at]
+        return [np.fromiter(map(known.__getitem__, part), np.int64, len(part)) for part in words]
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, bounds)``: text i has ``ids[bounds[i]:bounds[i + 1]]``."""
@@ -211,19 +203,9 @@ class Encoder:
         chunks = list(split_words(pieces))
         if not chunks:
             return np.zeros(0, np.int32), np.zeros(1, np.int64)
-        uniques = [np.unique(w.hashes, return_index=True, return_inverse=True) for w, _ in chunks]
-        spans = np.cumsum([0, *[len(u[0]) for u in uniques]])
-        hashes, where, back = np.unique(np.concatenate([u[0] for u in uniques]), return_index=True, return_inverse=True)
-
-        def word_at(i: int) -> str:
-            c = int(np.searchsorted(spans, where[i], "right")) - 1
-            w, k = chunks[c][0], uniques[c][1][where[i] - spans[c]]
-            return w.text[w.starts[k] : w.ends[k]]
-
-        slots = self._slots(hashes, word_at)
         out, counts = [], np.zeros(len(pieces), np.int64)
-        for c, (w, texts_of) in enumerate(chunks):
-            slot = slots[back[spans[c] : spans[c + 1]][uniques[c][2]]]
+        for slots, (w, texts_of) in zip(self._slots([w.distinct for w, _ in chunks]), chunks, strict=True):
+            slot = slots[w.index]
             size = self.size[slot]
             ends = np.cumsum(size)
             total = int(ends[-1]) if len(ends) else 0
@@ -258,17 +240,16 @@ def encoder(path: str, library: bool = False) -> Encoder:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 16_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Parts of the batches whose texts have about ``limit`` characters, with those texts (null: empty)."""
+    """Parts of the batches whose texts have about ``limit`` bytes, with those texts (null: empty)."""
     for batch in batches:
-        texts = [t or "" for t in batch.column(column).to_pylist()]
-        start = size = 0
-        for i, t in enumerate(texts):
-            if size and size + len(t) > limit:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, size = i, 0
-            size += len(t)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        start = 0
+        while start < batch.num_rows:
+            end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + limit, "right")))
+            part = batch.slice(start, end - start)
+            yield part, [t or "" for t in part.column(column).to_pylist()]
+            start = end
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:

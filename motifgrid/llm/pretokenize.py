@@ -13,6 +13,7 @@ import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import regex
 from tokenizers.pre_tokenizers import ByteLevel
 
@@ -45,50 +46,12 @@ def classes() -> np.ndarray:
     return table
 
 
-@functools.cache
-def _mixed() -> np.ndarray:
-    """A well-spread 64-bit value per code point."""
-    x = np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-BASE = 0xD1342543DE82EF95
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
-
-
-@functools.lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for b in (BASE, BASE_INVERSE):
-        p = np.full(n + 1, b, np.uint64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=np.uint64))
-    return out[0], out[1]
-
-
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each ``values[start:end]``: equal spans, equal hashes, wherever they lie."""
-    size = 1 << max(16, len(values).bit_length())
-    up, down = _powers(size)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h += (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(29))
-
-
 @dataclass
 class Words:
-    """Words of one chunk: where they start and end in its text, and their hashes."""
+    """Words of one chunk: its distinct ones, each place's index among them, and how many each text has."""
 
-    text: str
-    starts: np.ndarray
-    ends: np.ndarray
-    hashes: np.ndarray
+    distinct: list[bytes]
+    index: np.ndarray
     per_text: np.ndarray
 
 
@@ -148,21 +111,34 @@ def _chunks(texts: list[str]):
         yield parts, owner
 
 
+def _byte_offsets(points: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Where in UTF-8 the code points at ``places`` begin."""
+    size = np.ones(len(points) + 1, np.uint8)
+    for limit in (0x80, 0x800, 0x10000):
+        size[1:] += points >= limit
+    size[0] = 0
+    return np.cumsum(size, dtype=np.int64)[places]
+
+
 def split_words(texts: list[str]):
-    """Yield ``(Words, owners)`` for chunks of the batch, in order."""
+    """Yield ``(Words, owners)`` for chunks of the batch, in order.
+
+    Words are told apart by their bytes, in an Arrow dictionary: they lie end
+    to end in the chunk's UTF-8, so its buffer and their offsets are the column.
+    """
     for parts, owner in _chunks(texts):
         text = "".join(parts)
         lengths = np.array([len(p) for p in parts], np.int64)
         bounds = np.concatenate([[0], np.cumsum(lengths)])
         points = np.frombuffer(text.encode("utf-32-le"), "<u4")
         if not len(points):
-            none = np.zeros(0, np.int64)
-            yield Words("", none, none, none.astype(np.uint64), np.zeros(len(parts), np.int64)), owner
+            yield Words([], np.zeros(0, np.int64), np.zeros(len(parts), np.int64)), owner
             continue
         first = np.zeros(len(points) + 1, bool)
         first[bounds[:-1]] = True
         starts = np.flatnonzero(word_starts(points, first[:-1]))
-        ends = np.append(starts[1:], len(points))
-        hashes = span_hashes(_mixed()[points], starts, ends)
+        offsets = _byte_offsets(points, np.append(starts, len(points)))
+        column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(text.encode())])
+        coded = column.dictionary_encode()
         at = np.searchsorted(starts, bounds)
-        yield Words(text, starts, ends, hashes, np.diff(at)), owner
+        yield Words(coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), np.diff(at)), owner
