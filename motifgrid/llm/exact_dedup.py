@@ -88,15 +88,20 @@ def repeat_filter(hashes: DataFrame, rows: int, max_counters: int = MAX_COUNTERS
     return hashes.sparkSession.sparkContext.broadcast((counters, bits, probes))
 
 
+def in_filter(hashes: np.ndarray, shared) -> np.ndarray:
+    """Which of the hashes the filter has, in a worker."""
+    counters, bits, probes = shared.value
+    places = _probes(hashes, counters, probes)
+    got = bits[places >> np.uint64(3)] >> (np.uint64(7) - (places & np.uint64(7))).astype(np.uint8)
+    return (got & 1).all(axis=1)
+
+
 def maybe_repeated(hash_column: Column, shared) -> Column:
     """Second pass: false only for hashes that occur once."""
 
     @F.pandas_udf("boolean")
     def probe(h: pd.Series) -> pd.Series:
-        counters, bits, probes = shared.value
-        places = _probes(h.to_numpy(np.int64), counters, probes)
-        got = bits[places >> np.uint64(3)] >> (np.uint64(7) - (places & np.uint64(7))).astype(np.uint8)
-        return pd.Series((got & 1).all(axis=1))
+        return pd.Series(in_filter(h.to_numpy(np.int64), shared))
 
     return probe(hash_column)
 

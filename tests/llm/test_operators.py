@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from motifgrid.llm import bpe, colgen, exact_dedup, jaccard, kdshard, packing, quality, records, secrets, toxicity, urlfilter
+from motifgrid.llm import bpe, colgen, exact_dedup, jaccard, kdshard, packing, quality, records, secrets, shingles, toxicity, urlfilter
 from motifgrid.llm.components import connected_components
 
 WORDS = "the of and Cat dog house tree river stone cloud walk run blue green".split()
@@ -265,24 +265,104 @@ def test_jaccard_against_brute_force(spark, docs, width, percent):
 
 def test_jaccard_small_sets_show_subsets():
     t = jaccard.Threshold(85)
-    assert jaccard.choose_boundary({5: 10, 9: 10, 300: 5}, 3.0, t) > 0
-    order = jaccard.Order(64, 1 << 16, np.zeros(1 << 13, np.uint8), 13)
+    assert jaccard.choose_boundary({5: 10, 13: 10}, {5: 10, 13: 2000, 300: 5}, t) == 15
+    assert jaccard.choose_boundary({13: 10}, {13: 20}, t) < 13
     rnd = np.random.default_rng(1)
     for n in range(1, 20):
         a = np.unique(rnd.integers(0, 1 << 63, n).astype(np.uint64))
         for drop in range(n):
             b = np.delete(a, drop)
             if 100 * len(b) >= 85 * n:
-                assert np.intersect1d(jaccard.signatures(a, order, t), jaccard.signatures(b, order, t)).size
+                assert np.intersect1d(jaccard.subset_keys(a, 19, t), jaccard.subset_keys(b, 19, t)).size
+
+
+def test_jaccard_boundary_follows_the_lists(spark):
+    """Many short texts with common words: subsets are cheaper than their lists, and the links are the same."""
+    rnd = random.Random(3)
+    rows = [(i, " ".join(sorted(f"w{k}" for k in rnd.sample(range(14), 11)) + [f"x{rnd.randrange(4)}"])) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (85, 60):
+        assert Counter(map(tuple, jaccard.jaccard_components(df, width=1, percent=percent).collect())) == Counter(jaccard_brute(rows, 1, percent))
+
+
+def heavy_lists():
+    """One list of many members without a link, and a cluster of near copies of which some link."""
+    rnd = random.Random(9)
+    shared = [f"s{k}" for k in range(40)]
+    rows = [(i, " ".join(shared + [f"d{i}x{k}" for k in range(20)])) for i in range(300)]
+    base = [f"b{k}" for k in range(100)]
+    for i in range(300, 600):
+        w = list(base)
+        for _ in range(rnd.randint(0, 6)):
+            w[rnd.randrange(100)] = f"e{i}x{rnd.randrange(9)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_jaccard_heavy_lists(spark, monkeypatch):
+    rows = heavy_lists()
+    compared = []
+    verify = jaccard._verify
+    monkeypatch.setattr(jaccard, "_verify", lambda pairs, *a: compared.append(pairs.count()) or verify(pairs, *a))
+    monkeypatch.setattr(jaccard, "PART", 16)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for width, percent in ((4, 85), (1, 60)):
+        assert Counter(map(tuple, jaccard.jaccard_components(df, width=width, percent=percent).collect())) == Counter(jaccard_brute(rows, width, percent))
+    assert sum(compared) < 6 * len(rows)  # of 180,000 pairs
+
+
+def test_contracted_components(spark, monkeypatch):
+    from motifgrid.llm import components
+
+    rnd = random.Random(2)
+    edges = spark.createDataFrame([(rnd.randrange(90), rnd.randrange(90)) for _ in range(60)] + [(None, 1)], "a long, b long")
+    want = sorted(map(tuple, components.connected_components(edges, "a", "b").collect()))
+    assert sorted(map(tuple, components.contracted_components(edges, "a", "b").collect())) == want
+    monkeypatch.setattr(components, "CONTRACTED", 10)
+    assert sorted(map(tuple, components.contracted_components(edges, "a", "b").collect())) == want
+
+
+def test_words_are_told_apart():
+    """Two words whose polynomial hashes modulo a power of two agree."""
+    x = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    y = x.translate(str.maketrans("ab", "ba"))
+    for from_library in (False, True):
+        coder = bpe.Encoder(bpe.default_vocabulary(), from_library)
+        ids, bounds = coder.encode_batch([x, y])
+        got = [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        assert got == [library().encode(t, add_special_tokens=False).ids for t in (x, y)]
+        assert [coder.decode(g) for g in got] == [x, y]
+    first, second = shingles.shingle_sets([x, y], 4)
+    assert first.tolist() != second.tolist()
+    words = [w.encode() for w in ("a", "ab", "a" * 8, "a" * 9, "a" * 16, "a" * 128, "a" * 129, "é", x, y)]
+    raw = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = ends - [len(w) for w in words]
+    hashes = shingles.word_hashes(raw, starts, ends)
+    assert len(set(hashes.tolist())) == len(words)
+    assert [int(shingles.word_hashes(w, np.array([0]), np.array([len(w)]))[0]) for w in words] == hashes.tolist()
 
 
 def test_near_duplicates_keep_one(docs, none):
-    unique = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    left = jaccard.drop_near_duplicates(unique)
-    texts = [(r["doc_id"], r["text"]) for r in unique.collect()]
-    want = sorted(i for i, _, c in jaccard_brute(texts, 5, 80) if i == c)
-    assert sorted(r["doc_id"] for r in left.collect()) == want and left.columns == docs.columns
-    assert jaccard.jaccard_components(none).count() == 0
+    """Null ids, repeated rows, and one id with two texts are there too."""
+    left = jaccard.drop_near_duplicates(docs)
+    brute = jaccard_brute(list(enumerate(t for _, t in TEXTS)), 5, 80)
+    parts = {}
+    for (i, n, c), (doc_id, t) in zip(brute, TEXTS, strict=True):
+        parts.setdefault(c if n else (i,), []).append((doc_id is None, doc_id or 0, t or ""))
+    got = Counter((r["doc_id"], r["text"] or "") for r in left.collect())
+    firsts = {min(p)[:2] for p in parts.values()}
+    assert sum(got.values()) == len(parts) and {(i is None, i or 0) for i, _ in got} == firsts
+    assert left.columns == docs.columns
+    assert jaccard.jaccard_components(none).count() == 0 and jaccard.drop_near_duplicates(none).count() == 0
+
+
+def test_near_duplicates_of_one_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    near = a + " tail"
+    rows = [(1, a), (2, near), (2, b), (2, b), (None, b + " tail"), (None, "alone in the whole wide world of texts"), (3, None), (3, None)]
+    got = Counter(map(tuple, jaccard.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == Counter([(1, a), (2, b), (None, "alone in the whole wide world of texts"), (3, None), (3, None)])
 
 
 def test_toxicity(spark, none):
