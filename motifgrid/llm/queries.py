@@ -96,19 +96,43 @@ def oracle_sql() -> dict[str, str]:
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and failed_rule is null kept, failed_rule from judged""",
         "op4_url_filter": r"""
-with parts as (
-  select page_id, case when url is not null and position('://' in url) > 0
-    then substr(url, position('://' in url) + 3) else '' end rest from pages),
-split as (
-  select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
-    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path from parts),
+with recursive urls as (
+  select url, html from pages where url is not null and position('://' in url) > 0),
+links as (
+  select url, unnest(regexp_extract_all(html, '(?i)<link\b[^>]*>')) tag from urls),
+declared as (
+  select url, regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?\s*([A-Za-z]+://[^"''\s>]+)', 1) target from links where regexp_matches(tag, '(?i)\brel\s*=\s*["'']?canonical')
+  union select url, regexp_extract(tag, '(?i)\burl\s*=\s*["'']?\s*([A-Za-z]+://[^"''\s>]+)', 1) from (
+    select url, unnest(regexp_extract_all(html, '(?i)<meta\b[^>]*>')) tag from urls) where regexp_matches(tag, '(?i)\bhttp-equiv\s*=\s*["'']?refresh')),
+known as (select url from urls union select target from declared where target <> ''),
+rests as (select url, substr(url, position('://' in url) + 3) rest from known),
+parts as (
+  select url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path, regexp_extract(rest, '^[^?#]*(\?[^#]*)', 1) query from rests),
+forms as (
+  select url, host, path, host || path || query node, regexp_replace(host, '^(?:www|m)\.([^.]+\.)', '\1') || regexp_replace(path, '/+$', '')
+    || regexp_replace(regexp_replace(query, '[?&](?:utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '', 'g'), '^[?&]+(.)', '?\1') form from parts),
+edges as (
+  select node a, form b from forms where node <> form
+  union select form, node from forms where node <> form
+  union select f.node, g.node from declared d join forms f using (url) join forms g on g.url = d.target
+  union select g.node, f.node from declared d join forms f using (url) join forms g on g.url = d.target),
+reach(a, b) as (select a, a from edges union select r.a, e.b from reach r join edges e on r.b = e.a),
 rules(verdict, rh, rp) as (values ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
   ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+places as (
+  select a x, regexp_extract(a, '^[^/?#]*') host, regexp_extract(a, '^[^/?#]*([^?#]*)', 1) path from edges
+  union select b, regexp_extract(b, '^[^/?#]*'), regexp_extract(b, '^[^/?#]*([^?#]*)', 1) from edges),
+judged as (
+  select x, arg_max(verdict, length(rh || rp)) verdict
+  from places join rules on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by 1),
+blocked as (select distinct r.a from reach r join judged j on r.b = j.x where j.verdict = 'block'),
 hits as (
-  select page_id, rh || rp as rule, verdict, row_number() over (partition by page_id order by length(rh || rp) desc) k
-  from split join rules on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp))
-select s.page_id, host, path, h.rule, coalesce(h.verdict, 'allow') verdict, false alias_blocked
-from split s left join hits h on h.page_id = s.page_id and h.k = 1""",
+  select f.url, arg_max(rh || rp, length(rh || rp)) rule, arg_max(verdict, length(rh || rp)) verdict
+  from forms f join rules on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by 1)
+select page_id, coalesce(f.host, '') host, coalesce(f.path, '') path, rule,
+  coalesce(verdict, case when b.a is not null then 'block' else 'allow' end) verdict, b.a is not null alias_blocked
+from pages p left join forms f using (url) left join hits h using (url) left join blocked b on b.a = f.node""",
         "op6_exact_dedup": """
 with g as (select coalesce(text, '') t, max(doc_id) keep_id, count(*) n from documents group by 1)
 select doc_id, keep_id, cast(n as bigint) group_size, doc_id = keep_id kept, sha256(g.t) text_sha256

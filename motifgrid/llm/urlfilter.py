@@ -24,6 +24,11 @@ ALIASES = (
 )
 
 
+#: Parts of a URL that servers commonly redirect away: host labels, and parameters that only track.
+MIRRORS = r"^(?:www|m)\.([^.]+\.)"
+TRACKING = r"[?&](?:utm_[a-z]+|ref|fbclid|gclid)=[^&]*"
+
+
 def _rest(url: Column) -> Column:
     at = F.instr(url, "://")
     return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
@@ -58,12 +63,23 @@ def _without_dots(path: Column) -> Column:
     return F.when(path.rlike(r"/\.\.?(?:/|$)"), F.concat(F.array_join(kept, "/"), end)).otherwise(path)
 
 
-def _node(url: Column) -> Column:
-    """What identifies a page among links: no scheme, fragment, host case or dot segments."""
+def _parts(url: Column) -> tuple[Column, Column, Column]:
     rest = _rest(url)
     host = F.regexp_extract(rest, r"^[^/?#]*", 0)
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
-    return F.concat(ascii_lower(host), _without_dots(path), F.regexp_extract(rest, r"^[^?#]*(\?[^#]*)", 1))
+    return ascii_lower(host), _without_dots(path), F.regexp_extract(rest, r"^[^?#]*(\?[^#]*)", 1)
+
+
+def _node(url: Column) -> Column:
+    """What identifies a page among links: no scheme, fragment, host case or dot segments."""
+    return F.concat(*_parts(url))
+
+
+def _canonical(url: Column) -> Column:
+    """The node that servers commonly send a URL to: without mirror label, closing slashes and tracking parameters."""
+    host, path, query = _parts(url)
+    left = F.regexp_replace(query, TRACKING, "")
+    return F.concat(F.regexp_replace(host, MIRRORS, "$1"), F.regexp_replace(path, "/+$", ""), F.regexp_replace(left, "^[?&]+(.)", "?$1"))
 
 
 def _absolute(base: Column, target: Column) -> Column:
@@ -100,37 +116,46 @@ def judge_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     """One row per page: page_id, host, path, rule, verdict, alias_blocked.
 
     A page with a rule takes the rule's verdict, so an explicit allow always
-    wins.  A page without one is blocked if a redirect or canonical link,
-    over any number of steps and in either direction, ties it to a URL that a
-    rule blocks; otherwise it is allowed.  ``redirects`` (url, target) adds
-    crawled redirects to the links in the html.
+    wins.  A page without one is blocked if its aliases, over any number of
+    steps and in either direction, reach a URL that a rule blocks; otherwise
+    it is allowed.  Aliases are a URL and its canonical form, and the ends of
+    every canonical link and refresh in the html and of ``redirects`` (url,
+    target), which adds crawled ones.
 
     Null urls and urls without ``://`` have an empty host and path, no rule,
-    no aliases and the verdict allow.  Repeated rows are judged alike.
+    no aliases and the verdict allow.  Null html has no links; a long one is
+    searched whole.  Repeated rows are judged alike.  Other columns are not
+    read, whatever their names.  An empty table gives an empty result.
     """
     base = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("_mg_url"))
+    seen = base.select(F.col("_mg_url").alias("url")).where(F.instr("url", "://") > 0).distinct()
     edges = []
     if html is not None:
         edges.append(alias_edges(pages.select(F.col(url).alias("_mg_url"), F.col(html).alias("_mg_html")), "_mg_url", "_mg_html"))
     if redirects is not None:
         edges.append(redirects.select("url", "target"))
+    ends = seen
+    for e in edges:
+        ends = ends.unionAll(e.select("url")).unionAll(e.select(F.col("target").alias("url")))
+    links = ends.select(_node(F.col("url")).alias("src"), _canonical(F.col("url")).alias("dst"))
+    for e in edges:
+        links = links.unionAll(e.select(_node(F.col("url")).alias("src"), _node(F.col("target")).alias("dst")))
+    links = links.where("src <> '' and dst <> '' and src <> dst").distinct()
+
+    groups = connected_components(links, "src", "dst")
+    h, p = host_and_path(F.concat(F.lit("x://"), F.col("node")))
+    ruled = bind(groups, _mg_h=h, _mg_p=p)
+    hit = _matching(F.col("_mg_h"), F.col("_mg_p"), rules)["verdict"]
+    blocked = ruled.withColumn("v", hit).groupBy("root").agg(F.max(F.col("v") == "block").alias("b")).where("b")
+    aliases = groups.join(blocked, "root").select(F.col("node").alias("_mg_node"), F.lit(True).alias("alias_blocked"))
 
     host, path = host_and_path(F.col("_mg_url"))
     judged = bind(base, host=host, path=path)
     judged = judged.withColumn("_mg_hit", _matching(F.col("host"), F.col("path"), rules))
-    if edges:
-        links = edges[0] if len(edges) == 1 else edges[0].unionAll(edges[1])
-        links = links.select(_node(F.col("url")).alias("src"), _node(F.col("target")).alias("dst"))
-        links = links.where("src <> '' and dst <> ''")
-        groups = connected_components(links, "src", "dst")
-        h, p = host_and_path(F.concat(F.lit("x://"), F.col("node")))
-        ruled = bind(groups, _mg_h=h, _mg_p=p)
-        hit = _matching(F.col("_mg_h"), F.col("_mg_p"), rules)["verdict"]
-        blocked = ruled.withColumn("v", hit).groupBy("root").agg(F.max(F.col("v") == "block").alias("b")).where("b")
-        aliases = groups.join(blocked, "root").select(F.col("node").alias("_mg_node"), F.lit(True).alias("alias_blocked"))
-        judged = judged.withColumn("_mg_node", _node(F.col("_mg_url"))).join(aliases, "_mg_node", "left")
-    else:
-        judged = judged.withColumn("alias_blocked", F.lit(None).cast("boolean"))
+    # Urls without a node meet no alias; a value of their own keeps them from one task.
+    node = F.coalesce(_node(F.col("_mg_url")), F.lit(""))
+    node = F.when(node == "", F.concat(F.lit(" "), F.xxhash64("page_id").cast("string"))).otherwise(node)
+    judged = judged.withColumn("_mg_node", node).join(aliases, "_mg_node", "left")
     alias = F.coalesce("alias_blocked", F.lit(False))
     verdict = F.coalesce(F.col("_mg_hit")["verdict"], F.when(alias, F.lit("block")).otherwise(F.lit("allow")))
     return judged.select("page_id", "host", "path", F.col("_mg_hit")["rule"].alias("rule"), verdict.alias("verdict"), alias.alias("alias_blocked"))
