@@ -26,23 +26,25 @@ PEM = re.compile(
 )
 #: What differs between two ways of writing one key: line ends, also escaped ones, and quotes.
 WRAPPING = re.compile(r"\\[nrt]|[\s\"']")
-#: Kinds beyond the three base ones, in the order in which they sort.
+#: A run of a value's characters that may be a known secret without its name, if it has letters and digits.
+BARE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}+")
+#: Kinds beyond the three base ones, in the order in which they sort. Their spans count if ownership says that they are live.
 MORE = (
     ("github", re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}")),
     ("slack", re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}")),
-    ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
+    ("jwt", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+")),
     ("pem", PEM),
     ("login", re.compile(r"[a-z][a-z0-9+.-]{0,20}://[^\s:/@]{1,64}:[^\s:/@]{6,128}@")),
 )
-KINDS = ("assign", "access", "hex", *[k for k, _ in MORE])
+KINDS = ("assign", "access", "hex", *[k for k, _ in MORE], "bare")
 BASE = 3
 
 #: A value that this many owners hold is a copied example; below that entropy (bits a character) it is a placeholder.
 EXAMPLE_OWNERS = 5
 LIVE_ENTROPY = 2.5
 
-FINDING = "struct<kind:string,start:int,end:int,hash:string,entropy:double>"
-SCANNED = f"uid long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, findings array<{FINDING}>"
+FINDING = "struct<start:int,k:int,end:int,hash:string,entropy:double>"
+SCANNED = f"uid long, n_assign long, n_access long, n_hex long, base_sha256 string, findings array<{FINDING}>"
 
 
 def entropy(value: str) -> float:
@@ -66,6 +68,17 @@ def find_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found)
 
 
+def bare_values(text: str, found: list) -> list[tuple[int, int, int, str]]:
+    """As ``find_spans``: values outside the spans found that ownership may know from elsewhere."""
+    out, k, end = [], 0, 0
+    for m in BARE.finditer(text):
+        while k < len(found) and found[k][0] < m.end():
+            end, k = max(end, found[k][2]), k + 1
+        if m.start() >= end and any(map(str.isdigit, m[0])) and any(map(str.isalpha, m[0])):
+            out.append((m.start(), len(KINDS) - 1, m.end(), m[0]))
+    return out
+
+
 def _line(found: list) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b, _ in found)
 
@@ -73,29 +86,32 @@ def _line(found: list) -> str:
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for uid, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            found = find_spans(text.as_py() or "")
+        for uid, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            text = body.as_py() or ""
+            found = find_spans(text)
             base = [x for x in found if x[1] < BASE]
             n = Counter(x[1] for x in base)
-            listed = [{"kind": KINDS[k], "start": a, "end": b, "hash": hashlib.sha256(v.encode()).hexdigest(), "entropy": entropy(v)} for a, k, b, v in found]
-            rows.append((uid, n[0], n[1], n[2], hashlib.sha256(_line(base).encode()).hexdigest(), _line(found), listed))
-        finding = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("hash", pa.string()), ("entropy", pa.float64())]))
-        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [finding]
-        names = ["uid", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "findings"]
+            listed = [{"start": a, "k": k, "end": b, "hash": hashlib.sha256(v.encode()).hexdigest(), "entropy": entropy(v)} for a, k, b, v in found + bare_values(text, found)]
+            rows.append((uid, n[0], n[1], n[2], hashlib.sha256(_line(base).encode()).hexdigest(), listed))
+        finding = pa.list_(pa.struct([("start", pa.int32()), ("k", pa.int32()), ("end", pa.int32()), ("hash", pa.string()), ("entropy", pa.float64())]))
+        kinds = [pa.int64()] * 4 + [pa.string(), finding]
+        names = ["uid", "n_assign", "n_access", "n_hex", "base_sha256", "findings"]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
 
 
 def ownership(findings: DataFrame) -> DataFrame:
-    """``hash -> n_found, n_repos, n_owners, entropy, live`` over (hash, repo, owner, entropy) rows.
+    """``hash -> n_found, n_repos, n_owners, entropy, named, live`` over (hash, repo, owner, entropy, named) rows.
 
     Rows are reduced to distinct (hash, owner, repo) before anything is
     counted, and each count combines on the map side, so a value that a third
-    of all documents copy is as cheap as any other.
+    of all documents copy is as cheap as any other. A value is live if few
+    owners hold it, it is no placeholder, and some row names it as a secret.
     """
-    one = findings.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n"), F.max("entropy").alias("entropy"))
-    two = one.groupBy("hash", "owner").agg(F.sum("n").alias("n"), F.count("*").alias("repos"), F.max("entropy").alias("entropy"))
-    all_ = two.groupBy("hash").agg(F.sum("n").alias("n_found"), F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"), F.max("entropy").alias("entropy"))
-    return all_.withColumn("live", (F.col("n_owners") < EXAMPLE_OWNERS) & (F.col("entropy") >= LIVE_ENTROPY))
+    best = F.max("entropy").alias("entropy"), F.max("named").alias("named")
+    one = findings.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n"), *best)
+    two = one.groupBy("hash", "owner").agg(F.sum("n").alias("n"), F.count("*").alias("repos"), *best)
+    all_ = two.groupBy("hash").agg(F.sum("n").alias("n_found"), F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"), *best)
+    return all_.withColumn("live", F.col("named") & (F.col("n_owners") < EXAMPLE_OWNERS) & (F.col("entropy") >= LIVE_ENTROPY))
 
 
 def _scanned(docs: DataFrame, doc_id: str, text: str, owner: str | None, keep: list) -> DataFrame:
@@ -112,33 +128,46 @@ def _scanned(docs: DataFrame, doc_id: str, text: str, owner: str | None, keep: l
     return stage(base.withColumn("s", scan_text("body")).select("uid", "doc_id", "owner", "s.*", *[k for k in base.columns if k not in ("uid", "doc_id", "owner", "body")]))
 
 
-def _verdicts(scanned: DataFrame, rows: int) -> DataFrame:
-    """Every finding (uid, kind, start, end, live, n_owners, n_repos)."""
+def _verdicts(scanned: DataFrame) -> DataFrame:
+    """Every finding (uid, start, k, end, live, named, n_owners, n_repos)."""
     each = scanned.where(F.size("findings") > 0).select("uid", F.col("doc_id").alias("repo"), "owner", F.explode("findings").alias("f")).select("uid", "repo", "owner", "f.*")
+    each = each.withColumn("named", F.col("k") < len(KINDS) - 1)
     known = stage(ownership(each))
-    return join_groups(each.drop("entropy", "repo", "owner"), known.drop("entropy"), "hash", "n_found", rows)
+    total = known.agg(F.sum("n_found")).first()[0] or 0
+    return join_groups(each.drop("entropy", "repo", "owner", "named"), known.drop("entropy"), "hash", "n_found", total)
 
 
 def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str | None = "source") -> DataFrame:
     """One row per document with its spans and how its candidates are owned.
 
     Columns: doc_id, n_assign, n_access, n_hex, base_sha256, spans, and
-    n_live, n_example (findings by corpus-wide ownership). A document stands
-    for a repository and ``owner`` for its owner; a null owner is the owner
-    ''. A null text is empty: no spans. Rows repeat as often as they occur;
-    rows repeated with one id count as one repository.
+    n_live, n_example (findings by corpus-wide ownership). Base spans are
+    listed whoever owns them. Further kinds, and values without a name that
+    are named elsewhere, are listed if ownership says live: a value that
+    EXAMPLE_OWNERS owners hold is a copied example.
+
+    A document stands for a repository and ``owner`` for its owner; a null
+    owner is the owner ''. A null or empty text has no spans, a long one is
+    read whole. Rows repeat as often as they occur; rows repeated with one id
+    count as one repository. Other columns are not read, whatever their
+    names. An empty table gives an empty result.
     """
     scanned = _scanned(docs, doc_id, text, owner, [])
-    found = _verdicts(scanned, scanned.count())
-    per_doc = found.groupBy("uid").agg(F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_example"))
+    found = _verdicts(scanned).where("named")
+    span = F.struct("start", "k", "end")
+    listed = F.collect_list(F.when((F.col("k") < BASE) | F.col("live"), span))
+    per_doc = found.groupBy("uid").agg(F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_example"), F.array_sort(listed).alias("listed"))
     out = scanned.drop("findings", "owner").join(per_doc, "uid", "left")
     zero = F.lit(0).cast("long")
-    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_example", zero).alias("n_example"))
+    names = F.array(*[F.lit(k) for k in KINDS])
+    lines = F.transform(F.coalesce("listed", F.array().cast("array<struct<start:int,k:int,end:int>>")), lambda s: F.concat_ws(":", F.element_at(names, s["k"] + 1), s["start"], s["end"]))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.array_join(lines, ",").alias("spans"), F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_example", zero).alias("n_example"))
 
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str | None = "source", mask: str = "[SECRET]") -> DataFrame:
     """The documents, in their own columns, with live-looking values masked in the text.
 
+    A live value is masked wherever it stands, also without its name.
     Overlapping spans are masked as one. Widely copied examples and
     placeholders stay. Documents without a live finding come out unchanged,
     and no document is dropped. ``n_chars``, if present, follows the text.
@@ -146,7 +175,7 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: s
     cols = docs.columns
     row = F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_mg_row")
     scanned = _scanned(docs, doc_id, text, owner, [row])
-    found = _verdicts(scanned, scanned.count()).where("live")
+    found = _verdicts(scanned).where("live")
     spans = found.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cut"))
     joined = scanned.select("uid", "_mg_row", F.size("findings").alias("n"))
     clean = joined.where("n = 0").select("_mg_row.*")

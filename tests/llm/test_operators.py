@@ -159,6 +159,47 @@ def test_urls_read_every_alias(spark):
     assert got == {1: True, 2: True, 3: True, 4: True, 5: True, 6: True, 7: True, 8: False, 9: False}
 
 
+def test_urls_over_a_redirect_graph(spark):
+    """Hubs, chains, mirrors and repeated rows against plain search, with allows that stop nothing but themselves."""
+    rnd = random.Random(12)
+    urls = [f"http://h{i % 40}.{t}/{part}/{i}" for i, t in enumerate(rnd.choice(["org", "net", "com", "example.com"]) for _ in range(200)) for part in [rnd.choice(["en", "es", "fr", "de"])]]
+    hops = [(urls[i], urls[i + 1]) for i in range(0, 30)] + [(urls[rnd.randrange(40, 60)], urls[100]) for _ in range(25)] + [(rnd.choice(urls[120:]), rnd.choice(urls[120:])) for _ in range(25)]
+    html = {}
+    for a, b in hops[::2]:
+        html[a] = html.get(a, "") + (f'<link rel="canonical" href="{b}">' if len(a) % 2 else f"<meta http-equiv=refresh content='0; url={b}'>") + "x" * 5000
+    extra = [u.replace("http://", "https://www.").replace("www.h", "m.h", len(u) % 2) + "/?utm_source=a&ref=b#top" for u in urls[::7]]
+    rows = [(i, u, html.get(u, ""), 7) for i, u in enumerate(urls + extra + urls[:20])] + [(None, None, None, 0), (-1, "no scheme", "", 0)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host int")
+    redirects = spark.createDataFrame(hops[1::2], "url string, target string")
+    got = Counter((r["page_id"], r["verdict"], r["alias_blocked"]) for r in urlfilter.judge_urls(pages, redirects=redirects).collect())
+
+    def node(u):
+        return u.split("://")[1].split("#")[0]
+
+    def rule(n):
+        host, _, path = n.partition("/")
+        fits = [(len(h + p), v) for v, h, p in urlfilter.RULES if (host == h or host.endswith("." + h)) and ("/" + path.split("?")[0]).startswith(p)]
+        return max(fits)[1] if fits else None
+
+    near = {}
+    forms = [(node(u), node(u).replace("m.h", "h").replace("www.", "").split("/?")[0]) for u in extra]
+    for a, b in [(node(a), node(b)) for a, b in hops] + forms:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = Counter()
+    for i, u, _, _ in rows:
+        seen, todo = set(), [node(u)] if u and "://" in u else []
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += near.get(x, ())
+        own = rule(node(u)) if seen else None
+        bad = len(seen) > 1 and any(rule(x) == "block" for x in seen)
+        want[(i, own or ("block" if bad else "allow"), bad)] += 1
+    assert got == want and len({k[1:] for k in got}) == 4
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(35)] + [(i, i + 1) for i in range(100, 130)] + [(None, 1)]
@@ -469,6 +510,25 @@ def test_secrets(spark, docs, none):
     assert live[0] == (0, 1) and live[9] == (1, 0)
 
 
+def test_secrets_spans_follow_ownership(spark):
+    """Beyond the base kinds, spans are those of owner-specific values; a copied example is none."""
+    rnd = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    tokens = ["ghp_" + "".join(rnd.choice(letters) for _ in range(36)) for _ in range(3)]
+    value = "q7Zk29PdLw0sXv"
+    texts = [(i, f"use {tokens[0]} here", f"s{i}") for i in range(5)] + [(i, f"use {tokens[1]} here", f"s{i % 4}") for i in range(5, 12)]
+    texts += [(12, f"token = {value} then {value}", "s1"), (13, f"copied {value}, and {'a1' * 9}", "s1"), (14, "word" * 5 + "1" * 12, None), (15, None, "s2"), (16, f"eyJ{'eyJ' * 40000}.x", "s2"), (16, f"{tokens[2]} {'x' * 200000}", "s2")]
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    start = time.perf_counter()
+    got = Counter((r["doc_id"], r["spans"], r["n_live"], r["n_example"]) for r in secrets.scan_secrets(df).collect())
+    assert time.perf_counter() - start < 30
+    want = [(i, "", 0, 1) for i in range(5)] + [(i, "github:4:44", 1, 0) for i in range(5, 12)]
+    want += [(12, "assign:0:22,bare:28:42", 2, 0), (13, "bare:7:21", 1, 0), (14, "", 0, 0), (15, "", 0, 0), (16, "", 0, 0), (16, "github:0:40", 1, 0)]
+    assert got == Counter(want)
+    left = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert left[12] == "[SECRET] then [SECRET]" and left[13] == f"copied [SECRET], and {'a1' * 9}" and left[0] == texts[0][1] and left[5] == "use [SECRET] here"
+
+
 def test_secrets_take_private_keys_whole(spark):
     rnd = random.Random(8)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
