@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,14 +20,17 @@ from .support import stage
 
 #: Bound on the labelled rows that the classifier is fitted on (the first by a hash of their id).
 MAX_LABELLED = 20_000
-#: Bound on the words of the classifier's lexicon.
-MAX_LEXICON = 2_000
+#: Cells of the table of character n-grams, that all tasks hold: 8 MB. Every
+#: n-gram of every text counts in the cell of its hash.
+CELLS = 1 << 20
 #: Beginnings of words that count as features beside the words, marked by a star: inflected forms share them.
 STEMS = range(4, 9)
 #: A feature enters the lexicon from this many toxic training documents and this share of them, this many times as frequent there.
 MIN_TOXIC_DOCS = 4
 MIN_TOXIC_SHARE = 0.01
 MIN_RATIO = 20.0
+#: Pull of each weight towards its word's log-ratio.
+RIDGE = 0.05
 
 # Letters that a sign may stand for.
 LEET = {
@@ -47,26 +51,36 @@ SPACED = re.compile(rf"(?<![^\W_]){ONE}(?:[ .\-_*]{ONE}){{2,}}(?![^\W_])")
 CACHE_TOKENS = 1_000_000
 
 
+def _cell(gram: str) -> int:
+    """The cell of an n-gram, as ``pmod(xxhash64(gram), CELLS)`` gives it."""
+    return xxhash.xxh64_intdigest(gram.encode(), 42) & (CELLS - 1)
+
+
 @dataclass
 class CharModel:
-    """Interpolated character trigrams; ``table`` maps up to three characters to a count."""
+    """Interpolated character trigrams: ``counts`` by the cells of up to three characters, ``total`` of single ones."""
 
-    table: dict[str, int]
+    counts: np.ndarray
+    total: int
 
     def __post_init__(self) -> None:
-        self.total = sum(n for k, n in self.table.items() if len(k) == 1) or 1
         self.cache: dict[str, float] = {}
 
+    def _count(self, gram: str) -> int:
+        return int(self.counts[_cell(gram)])
+
     def log(self, before: str, c: str) -> float:
         key = before[-2:] + c
         got = self.cache.get(key)
         if got is None:
-            t = self.table.get
-            p = 0.1 * (t(c, 0) + 0.5) / (self.total + 50)
+            if len(self.cache) > CACHE_TOKENS:
+                self.cache.clear()
+            n = self._count
+            p = 0.1 * (n(c) + 0.5) / (self.total + 50)
             if before:
-                p += 0.3 * t(before[-1] + c, 0) / (t(before[-1], 0) + 1)
+                p += 0.3 * n(before[-1] + c) / (n(before[-1]) + 1)
             if len(before) > 1:
-                p += 0.6 * t(key, 0) / (t(before[-2:], 0) + 1)
+                p += 0.6 * n(key) / (n(before[-2:]) + 1)
             got = self.cache[key] = math.log(p)
         return got
 
@@ -179,39 +193,49 @@ def _prefixes(lexicon: frozenset[str]) -> frozenset[str]:
 class Reader:
     """Words of texts with disguised runs restored; what a token holds is worked out once.
 
-    ``of`` turns a token's words into what is kept of it.
+    A run is written plainly where the likeliest reading has a word of the
+    lexicon, and otherwise stays as it is. ``of`` turns a token's words into
+    what is kept of it.
     """
 
     def __init__(self, model: CharModel, lexicon: frozenset[str], of=frozenset):
         self.model, self.lexicon, self.of = model, lexicon, of
-        # Tokens, and runs of single letters as tuples of one.
-        self.cache: dict[str | tuple[str], frozenset] = {}
-        self.empty: set[str | tuple[str]] = set()
+        self.tokens: dict[str, frozenset] = {}
+        self.empty: set[str] = set()
+        self.runs: dict[str, str] = {}
 
-    def _token(self, token: str) -> frozenset:
-        words = set(WORD.findall(token.lower()))
-        if suspect(token):
-            words.update(decode(token, self.model, self.lexicon))
-        return frozenset(self.of(words))
+    def _plain(self, run: str) -> str:
+        """The run, restored."""
+        words = decode(run, self.model, self.lexicon)
+        return " ".join(words) if not self.lexicon.isdisjoint(words) else run
 
-    def _run(self, run: str) -> frozenset:
-        return frozenset(self.of(set(decode(run, self.model, self.lexicon)))) if WORD.search(run) else frozenset()
+    def _run(self, m: re.Match) -> str:
+        run = m[0]
+        if run not in self.runs:
+            self.runs[run] = self._plain(run) if WORD.search(run) else run
+        return self.runs[run]
+
+    def restore(self, text: str) -> str:
+        """The text with its disguised runs written plainly."""
+        return re.sub(r"\S+", lambda m: self._plain(m[0]) if suspect(m[0]) else m[0], SPACED.sub(self._run, text)) if self.lexicon else text
 
     def read(self, text: str) -> set[str]:
-        if len(self.cache) + len(self.empty) > CACHE_TOKENS:
-            self.cache.clear()
+        """What ``of`` keeps of the words of the restored text."""
+        if len(self.tokens) + len(self.empty) + len(self.runs) > CACHE_TOKENS:
+            self.tokens.clear()
             self.empty.clear()
+            self.runs.clear()
         found: set[str] = set()
-        for pieces, work in ((set(text.split()), self._token), ({(m[0],) for m in SPACED.finditer(text)}, lambda run: self._run(run[0]))):
-            for piece in pieces - self.empty:
-                got = self.cache.get(piece)
-                if got is None:
-                    got = work(piece)
-                    if got:
-                        self.cache[piece] = got
-                    else:
-                        self.empty.add(piece)
-                found |= got
+        for token in set((SPACED.sub(self._run, text) if self.lexicon else text).split()) - self.empty:
+            got = self.tokens.get(token)
+            if got is None:
+                plain = self._plain(token) if self.lexicon and suspect(token) else token
+                got = frozenset(self.of(set(WORD.findall(plain.lower()))))
+                if got:
+                    self.tokens[token] = got
+                else:
+                    self.empty.add(token)
+            found |= got
         return found
 
 
@@ -270,10 +294,15 @@ def _ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["gram", "n"])
 
 
-def char_model(texts: DataFrame, text: str = "text", most: int = 200_000) -> CharModel:
-    """Counts over every text; the ``most`` frequent n-grams reach the driver."""
-    counts = texts.select(text).mapInArrow(_ngrams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return CharModel({r["gram"]: r["n"] for r in counts.orderBy(F.desc("n"), "gram").limit(most).collect()})
+def char_model(texts: DataFrame, text: str = "text") -> CharModel:
+    """Counts over every text; only the cells' sums reach the driver."""
+    grams = texts.select(text).mapInArrow(_ngrams, "gram string, n long")
+    cells = grams.groupBy(F.pmod(F.xxhash64("gram"), F.lit(CELLS)).cast("int").alias("cell"), (F.length("gram") == 1).alias("single")).agg(F.sum("n").alias("n"))
+    found = cells.toArrow()
+    cell, single, n = (found.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+    counts = np.zeros(CELLS, np.int64)
+    np.add.at(counts, cell.astype(np.int64), n.astype(np.int64))
+    return CharModel(counts, int(n[single.astype(bool)].sum()) or 1)
 
 
 def _count_features(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -298,8 +327,8 @@ def _hits(batches: Iterator[pa.RecordBatch], shared, listed: frozenset[str]) ->
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MAX_LABELLED) -> Model:
     """Learn from labelled rows that are not held out, at most ``most`` of them.
 
-    Words far more frequent in toxic documents form the lexicon; a logistic
-    regression on their presence gives weights. The character model counts
+    Words far more frequent in toxic documents form the lexicon, however many;
+    a logistic regression on their presence gives weights. The character model counts
     every document's text. Words are first found plainly, then once more with
     disguised runs restored towards that lexicon.
     """
@@ -323,29 +352,33 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         ratio = ((F.col("t") + 0.5) / bad) / ((F.col("n") - F.col("t") + 0.5) / good)
         enough = F.col("t") >= max(MIN_TOXIC_DOCS, MIN_TOXIC_SHARE * bad)
         top = each.where((F.col("f") != "") & enough & (ratio >= MIN_RATIO)).withColumn("gain", F.col("t") * F.log(ratio))
-        lexicon = [r["f"] for r in top.orderBy(F.desc("gain"), "f").limit(MAX_LEXICON).collect()]
-        if not lexicon:
+        ratios = {r["f"]: r["ratio"] for r in top.withColumn("ratio", F.log(ratio)).orderBy(F.desc("gain"), "f").collect()}
+        if not ratios:
             return Model({}, -5.0, chars)
-        listed = frozenset(lexicon)
+        listed = frozenset(ratios)
         found = texts.mapInArrow(lambda it, b=shared, x=listed: _hits(it, b, x), "hits array<string>, toxic int")
         facts = found.groupBy("toxic", "hits").agg(F.count("*").alias("n")).toPandas()
-        weights, bias = _logistic(facts, lexicon)
+        weights, bias = _logistic(facts, ratios)
         model = Model(weights, bias, chars)
     return model
 
 
-def _logistic(facts: pd.DataFrame, lexicon: list[str], steps: int = 400) -> tuple[dict[str, float], float]:
-    """Ridge logistic regression on presence of words, by gradient steps over distinct rows."""
+def _logistic(facts: pd.DataFrame, ratios: dict[str, float], steps: int = 400) -> tuple[dict[str, float], float]:
+    """Ridge logistic regression on presence of words, by gradient steps over
+    distinct rows. Each weight is pulled towards its word's own log-ratio of
+    document frequencies, which is all that rows without other words say."""
+    lexicon = list(ratios)
     at = {w: i for i, w in enumerate(lexicon)}
     rows = np.repeat(np.arange(len(facts)), [len(h) for h in facts["hits"]])
     cols = np.array([at[w] for h in facts["hits"] for w in h], np.int64)
     y, n = facts["toxic"].to_numpy(float), facts["n"].to_numpy(float)
-    w, bias = np.full(len(lexicon), 2.0), -4.0
+    centre = np.array([ratios[w] for w in lexicon])
+    w, bias = centre.copy(), -4.0
     speed_w, speed_b = np.full(len(lexicon), 1e-8), 1e-8
     for _ in range(steps):
         z = bias + np.bincount(rows, w[cols], len(y))
         error = n * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        gw, gb = np.bincount(cols, error[rows], len(w)) + 0.05 * (w - 4.0), error.sum()
+        gw, gb = np.bincount(cols, error[rows], len(w)) + RIDGE * (w - centre), error.sum()
         speed_w, speed_b = speed_w + gw**2, speed_b + gb**2
         w, bias = w - 0.5 * gw / np.sqrt(speed_w), bias - 0.5 * gb / np.sqrt(speed_b)
     return dict(zip(lexicon, w.tolist(), strict=True)), float(bias)
@@ -362,22 +395,14 @@ def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
 def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
-    Only the text is an input of the score. Empty and null texts score the
-    bias alone. Without labels of both kinds every document scores alike.
+    Only the text is an input of the score; equal texts score alike, and rows
+    repeat as they come. Empty and null texts score the bias alone, long ones
+    and long tokens are read whole. A score at the threshold predicts 1.
+    Without labels of both kinds every document scores alike. Other columns
+    are not read, whatever their names. An empty table gives an empty result.
     """
     model = fit(docs, labels, doc_id, text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[doc_id].dataType.simpleString()
     scored = docs.select(F.col(doc_id), F.col(text)).mapInArrow(lambda it: _score(it, shared), f"doc_id {kind}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
-
-
-def restore(text: str, model: Model) -> str:
-    """The text with its disguised runs written plainly."""
-    lexicon = model.lexicon
-
-    def plain(run: str) -> str:
-        return " ".join(decode(run, model.chars, lexicon))
-
-    text = SPACED.sub(lambda m: plain(m[0]) if WORD.search(m[0]) else m[0], text)
-    return re.sub(r"\S+", lambda m: plain(m[0]) if suspect(m[0]) else m[0], text)

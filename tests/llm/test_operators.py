@@ -433,7 +433,10 @@ BAD = ["blorgh", "snarfle", "grumpot", "dumbass", "asshole"]
 
 def toxic_reader():
     grams = Counter(w[i : i + k] for w in [*WORDS, *BAD, "you", "are", "a", "classic", "hello"] for k in (1, 2, 3) for i in range(len(w) - k + 1))
-    chars = toxicity.CharModel({g.lower(): n for g, n in grams.items()})
+    counts = np.zeros(toxicity.CELLS, np.int64)
+    for g, n in grams.items():
+        counts[toxicity._cell(g.lower())] += n
+    chars = toxicity.CharModel(counts, sum(n for g, n in grams.items() if len(g) == 1))
     return toxicity.Model(dict.fromkeys(BAD, 5.0), -4.0, chars).reader()
 
 
@@ -457,6 +460,45 @@ def test_toxicity_finds_words_inside_runs(run, want):
     assert toxic_reader().read(f"the {run} walks") == want
 
 
+def test_toxicity_counts_every_ngram(spark):
+    texts = [("Ab b",), ("ab",), (None,), ("漢字 xyz",)]
+    chars = toxicity.char_model(spark.createDataFrame(texts, "text string"))
+    assert [chars._count(g) for g in ("a", "b", "ab", "xyz", "漢字")] == [2, 3, 2, 1, 1] and chars.total == 10
+
+
+def test_toxicity_decoding_decides(spark, monkeypatch):
+    """Held-out toxic texts whose word is disguised: caught with decoding, missed without; clean disguises stay clean."""
+    rnd = random.Random(16)
+    bad = ["blorgh", "snarfle", "grumpot", "wexling"]
+    forms = [lambda w: w.replace("o", "0").replace("e", "3"), lambda w: " ".join(w), lambda w: ".".join(w), lambda w: w[0] + w[1] * 4 + w[2:], lambda w: " ".join(w.replace("e", "3").replace("o", "0")), lambda w: w.replace("r", "r-").replace("l", "1")]
+    rows, labels = [], []
+    for i in range(600):
+        w = [rnd.choice(WORDS) for _ in range(25)]
+        toxic, disguise = int(i % 3 == 0), zlib.crc32(str(i).encode()) % 3 == 1
+        word = rnd.choice(bad if toxic else [x for x in WORDS if len(x) > 3])
+        at = rnd.randrange(25)
+        w[at] = rnd.choice(forms)(word) if disguise else word
+        rows.append((i, " ".join(w), "x", 0.5))
+        labels.append((i, 1, toxic))
+    docs = spark.createDataFrame([*rows, rows[3], (None, rows[3][1], "x", 0.5)], "doc_id long, text string, toxic string, score double")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    truth = {i: t for i, _, t in labels}
+
+    def right():
+        got = [r for r in toxicity.score_toxicity(docs, known).collect() if r["held_out"]]
+        return sum(r["predicted"] == truth[r["doc_id"]] for r in got if truth[r["doc_id"]]), sum(r["predicted"] for r in got if not truth[r["doc_id"]]), sum(truth[r["doc_id"]] for r in got)
+
+    caught, wrong, all_ = right()
+    assert caught >= 0.9 * all_ and not wrong
+    model = toxicity.fit(docs, known)
+    reader = model.reader()
+    plain = toxicity.Reader(model.chars, frozenset(), reader.of)
+    held = [t for i, t, _, _ in rows if zlib.crc32(str(i).encode()) % 3 == 1 and truth[i]]
+    assert sum(model.score(reader.read(t)) >= 0.7 for t in held) >= 0.9 * len(held)
+    assert sum(model.score(plain.read(t)) >= 0.7 for t in held) <= 0.2 * all_
+    assert all(set(reader.restore(t).lower().split()) & set(bad) for t in held if model.score(reader.read(t)) >= 0.7)
+
+
 def test_toxicity_decoder_is_exact_and_linear():
     reader = toxic_reader()
     chars, known = reader.model, reader.lexicon
