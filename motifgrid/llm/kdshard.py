@@ -126,27 +126,35 @@ def _leaf(node: Node) -> Column:
     return F.when(_below(node.dim, node.cut), _leaf(node.kids[0])).otherwise(_leaf(node.kids[1]))
 
 
-def assign_shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = 8) -> DataFrame:
+def assign_shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = 8, target_bytes: int | None = None) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
-    The law is ``bytes``: shards hold near-equal bytes. Dimensions are the
-    document's size and its text's checksum, so equal texts lie at one point
-    and stay together unless a cut has to go through them; it then divides
-    them by a hash of the row. Slots number each shard's rows from 0.
-
-    A null or empty text has size 1. Repeated rows are placed one by one. An
-    empty table gives an empty result.
+    The law is ``bytes``: shards hold near-equal bytes. A node is split until
+    its bytes are the target, which is ``target_bytes`` or else the total
+    divided by ``shards``. The metadata dimensions are the text's bytes,
+    characters and lines, and at last its checksum: all depend on the text
+    alone, so equal texts lie at one point (their language or source may
+    differ) and stay together unless a cut has to go through them; it then
+    divides them by a hash of the row. Slots number each shard's rows from 0.
+
+    A null or empty text has size 1, a long one is measured whole. Repeated
+    rows are placed one by one. Other columns are not read, whatever their
+    names. An empty table gives an empty result.
     """
+    if target_bytes is not None:
+        shards = shards_for(docs, target_bytes, text)
     body = F.coalesce(F.col(text), F.lit(""))
     facts = docs.select(
         F.col(doc_id).alias("doc_id"),
         (F.octet_length(body) + 1).cast("long").alias("size"),
+        F.length(body).cast("long").alias("chars"),
+        (F.length(body) - F.length(F.translate(body, "\n", ""))).cast("long").alias("lines"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
         F.monotonically_increasing_id().alias("uid"),
     )
     rows = stage(facts.withColumn("tie", F.pmod(F.xxhash64("uid", "text_crc32"), F.lit(TIE_SPAN))))
-    tree = _grow(rows, ["size", "text_crc32"], shards)
-    placed = rows.withColumn("shard", _leaf(tree).cast("int"))
+    tree = _grow(rows, ["size", "chars", "lines", "text_crc32"], shards)
+    placed = rows.withColumn("shard", _leaf(tree).cast("int")).drop("chars", "lines", "tie")
     placed = gapless_rank(placed, ["shard"], "uid", rows.count(), "slot")
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 

@@ -609,4 +609,40 @@ def test_shards(spark, docs, none):
     for s in size:
         assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
     assert kdshard.assign_shards(none).count() == 0
-    assert kdshard.shards_for(docs, 1 << 10) >= 1
+    total = sum(len((t or "").encode()) + 1 for _, t in TEXTS)
+    assert kdshard.shards_for(docs, 1 << 10) == -(-total // 1024)
+    some = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab\n"), (F.col("id") % 97).cast("int")).alias("text"), F.lit("x").alias("size"), F.lit(1).alias("lines"))
+    size = Counter()
+    for r in kdshard.assign_shards(some, target_bytes=30_000).collect():
+        size[r["shard"]] += r["size"]
+    assert len(size) == -(-sum(size.values()) // 30_000) and max(size.values()) <= 30_000
+
+
+def test_shards_are_the_leaves_of_the_tree(spark):
+    """A plain k-d split of the same points, at exact weighted medians, holds the same bytes to a cell's width."""
+    rnd = random.Random(21)
+    texts = ["\n".join("é" * rnd.randint(0, 30) + "ab" * rnd.randint(0, 40) for _ in range(rnd.randint(1, 12))) for _ in range(1500)]
+    points = [(len(t.encode()) + 1, len(t), t.count("\n"), zlib.crc32(t.encode())) for t in texts]
+    whole = [max(p[d] for p in points) - min(p[d] for p in points) for d in range(4)]
+
+    def split(part, leaves):
+        if leaves == 1:
+            return [sum(p[0] for p in part)]
+        d = max(range(4), key=lambda d: ((max(p[d] for p in part) - min(p[d] for p in part)) / whole[d], -d))
+        part, goal, below = sorted(part, key=lambda p: p[d]), sum(p[0] for p in part) * (leaves // 2) / leaves, 0
+        for i, p in enumerate(part):
+            if below + p[0] / 2 >= goal:
+                break
+            below += p[0]
+        return split(part[:i], leaves // 2) + split(part[i:], leaves - leaves // 2)
+
+    got = kdshard.assign_shards(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    size = Counter()
+    for r in got:
+        size[r["shard"]] += r["size"]
+    want = split(points, 8)
+    assert all(abs(size[i] - w) <= 0.03 * sum(want) / 8 for i, w in enumerate(want))
+    shards_of = {}
+    for r in got:
+        shards_of.setdefault(r["text_crc32"], set()).add(r["shard"])
+    assert sum(len(x) > 1 for x in shards_of.values()) <= 7
