@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pretokenize import split_words
+from .support import trim
 
 #: Distinct words whose ids a worker keeps; beyond them it starts anew.
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 300_000
 
 
 def default_vocabulary() -> str:
@@ -239,7 +240,7 @@ def encoder(path: str, library: bool = False) -> Encoder:
     return Encoder(path, library)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 16_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of the batches whose texts have about ``limit`` bytes, with those texts (null: empty)."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -250,6 +251,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 16_000_0
             part = batch.slice(start, end - start)
             yield part, [t or "" for t in part.column(column).to_pylist()]
             start = end
+    trim()
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import join_groups, stage
+from .support import join_groups, stage, trim
 
 PROBES = 4
 SEGMENT = 1 << 16
@@ -48,11 +48,13 @@ def _tally(batches: Iterator[pa.RecordBatch], counters: int, probes: int = PROBE
         places = _probes(batch.column(0).to_numpy(zero_copy_only=False), counters, probes).ravel()
         held.append(places)
         size += len(places)
-        if size > 4_000_000:
+        if size > 2_000_000:
             yield from flush(held)
             held, size = [], 0
     if size:
         yield from flush(held)
+    del held
+    trim()
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

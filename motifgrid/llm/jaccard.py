@@ -30,7 +30,7 @@ from .bpe import slices
 from .components import contracted_components
 from .exact_dedup import in_filter, maybe_repeated, repeat_filter
 from .shingles import mix, shingle_sets
-from .support import join_groups, stage
+from .support import join_groups, stage, trim
 
 #: The largest boundary that is considered: subsets of larger sets number thousands.
 MAX_SUBSETS = 24
@@ -133,6 +133,8 @@ def _by_level(pdf: pd.DataFrame) -> pd.DataFrame:
     cells = np.flatnonzero(total >= LEAST_FREQUENT)
     levels = np.minimum(np.frexp(total[cells])[1] - 1, 15)
     places = _slot(np.full(len(cells), r), cells).astype("<u4")
+    del total
+    trim()
     return pd.DataFrame([(int(k), places[levels == k].tobytes()) for k in np.unique(levels)], columns=["level", "places"])
 
 
@@ -269,6 +271,7 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int, wanted) -> Iterator[pa.
 
 
 def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
+    trim()
     return pd.Series([len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 

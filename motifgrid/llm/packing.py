@@ -35,7 +35,7 @@ def _head(rest: int, width: int) -> int:
 def _tokenize(batches: Iterator[pa.RecordBatch], path: str, length: int, width: int) -> Iterator[pa.RecordBatch]:
     coder = encoder(path, library=True)
     end = np.array([END_ID], "<u4")
-    for batch, texts in slices(batches, 2, 4_000_000):
+    for batch, texts in slices(batches, 2, 2_000_000):
         ids, bounds = coder.encode_batch(texts)
         rows = []
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):

@@ -21,7 +21,7 @@ OTHER, LETTER, NUMBER, BLANK = range(4)
 # The code points with Unicode's White_Space property.
 WHITE_SPACE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Characters handled at once; bounds the memory of a batch.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 
 @functools.cache

@@ -73,7 +73,7 @@ def _frames(batches: Iterator[pa.RecordBatch], path: str, end_id: int | None) ->
     coder = encoder(path, library=True)
     wide = coder.vocabulary.width > 1 << 16
     tail = np.array([] if end_id is None else [end_id], np.int32)
-    for batch, texts in slices(batches, 1, 4_000_000):
+    for batch, texts in slices(batches, 1, 2_000_000):
         ids, bounds = coder.encode_batch(texts)
         out = [frame(d, np.concatenate([ids[a:b], tail]), wide) for d, a, b in zip(batch.column(0).to_pylist(), bounds[:-1], bounds[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])

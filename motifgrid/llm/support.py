@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,19 +69,11 @@ def release(*staged: DataFrame | None) -> None:
     SparkSession.active().sparkContext._jvm.System.gc()
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int):
-    """Arrow batches of at most so many rows for what runs inside: for wide rows."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+def trim() -> None:
+    """Give freed memory back to the system: Python workers stay between tasks, and what an idle one keeps is lost to its executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def bind(df: DataFrame, **exprs: Column) -> DataFrame:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import stage
+from .support import stage, trim
 
 #: Bound on the labelled rows that the classifier is fitted on (the first by a hash of their id).
 MAX_LABELLED = 20_000
@@ -291,7 +291,9 @@ def _ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k in (1, 2, 3):
                     for i in range(len(w) - k + 1):
                         grams[w[i : i + k]] += n
+        del words
         yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["gram", "n"])
+    trim()
 
 
 def char_model(texts: DataFrame, text: str = "text") -> CharModel:
