@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .pretokenize import split_words
 from .support import trim
 
-#: Distinct words whose ids a worker keeps; beyond them it starts anew.
+#: Distinct words whose ids a worker keeps, the first ones; after four times as many others it starts anew.
 CACHE_WORDS = 300_000
 
 
@@ -159,6 +159,7 @@ class Encoder:
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.others = 0
         self.flat = np.zeros(0, np.int32)
         self.offset = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
@@ -174,19 +175,28 @@ class Encoder:
             sizes.append(len(got))
         return np.array(ids, np.int64), np.array(sizes, np.int64)
 
-    def _slots(self, words: list[list[bytes]]) -> list[np.ndarray]:
-        """Where the ids of each list's words are kept; new words are encoded, all at once."""
-        if len(self.known) > CACHE_WORDS:
+    def _slots(self, words: list[list[bytes]]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """For each list of words their slots; then all ids, and where those of
+        a slot begin and how many they are. New words are encoded, all at once."""
+        if self.others > 4 * CACHE_WORDS:
             self.clear()
-        known = self.known
-        fresh = list(dict.fromkeys(w for part in words for w in part if w not in known))
+        get = self.known.get
+        slots = [[get(w, -1) for w in part] for part in words]
+        fresh = list(dict.fromkeys(w for part, at in zip(words, slots, strict=True) for w, k in zip(part, at, strict=True) if k < 0))
+        flat, offset, size = self.flat, self.offset, self.size
         if fresh:
             ids, sizes = self._encode_words(fresh)
-            known.update(zip(fresh, range(len(self.size), len(self.size) + len(fresh)), strict=True))
-            self.offset = np.concatenate([self.offset, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
-            self.size = np.concatenate([self.size, sizes])
-        return [np.fromiter(map(known.__getitem__, part), np.int64, len(part)) for part in words]
+            new = dict(zip(fresh, range(len(size), len(size) + len(fresh)), strict=True))
+            slots = [[new[w] if k < 0 else k for w, k in zip(part, at, strict=True)] for part, at in zip(words, slots, strict=True)]
+            offset = np.concatenate([offset, len(flat) + np.cumsum(sizes) - sizes])
+            flat = np.concatenate([flat, ids.astype(np.int32)])
+            size = np.concatenate([size, sizes])
+            if len(self.known) < CACHE_WORDS:
+                self.known.update(new)
+                self.flat, self.offset, self.size = flat, offset, size
+            else:
+                self.others += len(fresh)
+        return [np.array(at, np.int64) for at in slots], flat, offset, size
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, bounds)``: text i has ``ids[bounds[i]:bounds[i + 1]]``."""
@@ -205,13 +215,14 @@ class Encoder:
         if not chunks:
             return np.zeros(0, np.int32), np.zeros(1, np.int64)
         out, counts = [], np.zeros(len(pieces), np.int64)
-        for slots, (w, texts_of) in zip(self._slots([w.distinct for w, _ in chunks]), chunks, strict=True):
-            slot = slots[w.index]
-            size = self.size[slot]
+        slots, flat, offset, sizes = self._slots([w.distinct for w, _ in chunks])
+        for slot_of, (w, texts_of) in zip(slots, chunks, strict=True):
+            slot = slot_of[w.index]
+            size = sizes[slot]
             ends = np.cumsum(size)
             total = int(ends[-1]) if len(ends) else 0
-            take = np.repeat(self.offset[slot] - (ends - size), size) + np.arange(total)
-            out.append(self.flat[take])
+            take = np.repeat(offset[slot] - (ends - size), size) + np.arange(total)
+            out.append(flat[take])
             before = np.concatenate([[0], ends])
             words = np.concatenate([[0], np.cumsum(w.per_text)])
             np.add.at(counts, texts_of, np.diff(before[words]))
