@@ -25,10 +25,10 @@ def _with_isolated(spark: SparkSession, n: int) -> DataFrame:
 
 
 def read_text(spark: SparkSession, path: str) -> Graph:
-    """Header ``n m``, then m lines ``u v``. The header is the first line; a
-    file with fewer edges than it says, or ids beyond n, is refused."""
-    first = spark.read.text(path).limit(1).first()
-    n, m = (int(x) for x in first["value"].split()[:2])
+    """Header ``n m``, then m lines ``u v``. The header is the first line, of
+    the first file where the path is a folder; a file with fewer edges than it says, or ids beyond n, is refused."""
+    files = spark.read.text(path).select("value", F.input_file_name().alias("file"))
+    n, m = (int(x) for x in files.where(F.col("file") == files.agg(F.min("file")).first()[0]).first()["value"].split()[:2])
     rows = _lines(spark, path).where(F.size("t") >= 2).select(F.col("t")[0].cast("long").alias("u"), F.col("t")[1].cast("long").alias("v"))
     # The header's pair is one row too many; loops and repeats fall with the canonical form.
     seen = rows.agg(F.count("*"), F.count_if((F.col("u") == n) & (F.col("v") == m)), F.max(F.greatest("u", "v"))).first()
@@ -75,26 +75,52 @@ def read_graph(spark: SparkSession, path: str) -> Graph:
     return read_binary(spark, path) if is_binary(spark, path) else read_text(spark, path)
 
 
+def _size(g: Graph) -> tuple[int, int]:
+    """Vertices, counted to the highest id, and edges."""
+    top = g.vertices.agg(F.max("v")).first()[0]
+    return (0 if top is None else top + 1), g.edges.count()
+
+
 def write_text(g: Graph, path: str) -> None:
     """A folder whose part files, in order, are the text format: header first, edges ascending."""
     spark = g.edges.sparkSession
-    n = (g.vertices.agg(F.max("v")).first()[0] or -1) + 1
-    m = g.edges.count()
+    n, m = _size(g)
     head = spark.createDataFrame([(-1, -1, f"{n} {m}")], "u long, v long, value string")
     rows = g.edges.select("u", "v", F.concat_ws(" ", "u", "v").alias("value"))
     head.unionAll(rows).repartitionByRange("u", "v").sortWithinPartitions("u", "v").select("value").write.text(path)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of each batch as the format's bytes."""
+    for batch in batches:
+        pairs = np.stack([batch.column(i).to_numpy() for i in range(2)], axis=1).astype("<u4")
+        yield pa.RecordBatch.from_arrays([pa.array([pairs.tobytes()], pa.binary())], ["block"])
+
+
 def write_binary(g: Graph, path: str) -> None:
-    """One local file, edges streamed to it partition by partition."""
-    n = (g.vertices.agg(F.max("v")).first()[0] or -1) + 1
-    m = g.edges.count()
+    """One file, wherever Hadoop can write: executors make its blocks, which pass through the driver one by one."""
+    n, m = _size(g)
     if n >= 1 << 32 or m >= 1 << 32:
         raise ValueError("the binary format holds 32-bit ids and counts")
-    with open(path, "wb") as out:
-        out.write(MAGIC + struct.pack("<II", n, m))
-        for row in g.edges.orderBy("u", "v").toLocalIterator(prefetchPartitions=True):
-            out.write(struct.pack("<II", row["u"], row["v"]))
+    spark = g.edges.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(MAGIC + struct.pack("<II", n, m)))
+        for row in g.edges.orderBy("u", "v").mapInArrow(_blocks, "block binary").toLocalIterator(prefetchPartitions=True):
+            out.write(bytearray(row["block"]))
+    finally:
+        out.close()
+
+
+def write_parquet(g: Graph, path: str) -> None:
+    """A folder with ``edges`` and ``vertices`` (with their labels): the format for graphs of any size."""
+    g.edges.write.parquet(f"{path}/edges")
+    g.vertices.select("v", "label").write.parquet(f"{path}/vertices")
+
+
+def read_parquet(spark: SparkSession, path: str) -> Graph:
+    return Graph.from_edges(spark.read.parquet(f"{path}/edges"), vertices=spark.read.parquet(f"{path}/vertices"))
 
 
 def convert(spark: SparkSession, source: str, target: str) -> None:
@@ -125,10 +151,14 @@ def write_labelled(g: Graph, path: str) -> None:
 
 
 def write_matches(matches: DataFrame, path: str) -> None:
-    """``count`` first, then one match a line, in vertex order of the pattern."""
+    """``count`` first, then one match a line, in vertex order of the pattern, ascending."""
     cols = matches.columns
-    n = matches.count()
-    head = matches.sparkSession.createDataFrame([(0, "", str(n))], "k int, o string, value string")
-    line = F.concat(F.concat_ws(" ", *cols), F.lit(" "))
-    rows = matches.select(F.lit(1).alias("k"), line.alias("o"), line.alias("value"))
-    head.unionAll(rows).repartitionByRange("k", "o").sortWithinPartitions("k", "o").select("value").write.text(path)
+    head = matches.sparkSession.range(1).select(F.lit(0).alias("k"), *[F.lit(-1).cast("long").alias(c) for c in cols], F.lit(str(matches.count())).alias("value"))
+    rows = matches.select(F.lit(1).alias("k"), *cols, F.concat(F.concat_ws(" ", *cols), F.lit(" ")).alias("value"))
+    head.unionAll(rows).repartitionByRange("k", *cols).sortWithinPartitions("k", *cols).select("value").write.text(path)
+
+
+def read_matches(spark: SparkSession, path: str, vertices: int) -> DataFrame:
+    """``v0..``: the matches of a file or folder written so; the line of the count has one field."""
+    t = _lines(spark, path).where(F.size("t") == vertices)
+    return t.select(*[F.col("t")[i].cast("long").alias(f"v{i}") for i in range(vertices)])

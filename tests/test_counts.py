@@ -86,8 +86,11 @@ def test_stream_feed(spark, tmp_path):
     feed = TriangleFeed(str(tmp_path / "e"))
     for i, part in enumerate(([(0, 1), (1, 2)], [(0, 2), (1, 3)], [(2, 3), (0, 1), (0, 3)])):
         feed(spark.createDataFrame(part, "u long, v long"), i)
+    feed = TriangleFeed(str(tmp_path / "e"))  # a restart: what is known lies in the folders
     feed(spark.createDataFrame([(2, 3), (0, 1), (0, 3)], "u long, v long"), 2)
-    assert feed.total == 4
+    assert feed.total(spark) == 4
+    feed(spark.createDataFrame([(4, 2), (4, 3), (4, 4)], "u long, v long"), 3)
+    assert feed.total(spark) == 5 and TriangleFeed(str(tmp_path / "none")).total(spark) == 0
 
 
 def test_plan_text(spark):

@@ -42,6 +42,25 @@ def test_labelled_and_match_files(spark, tmp_path):
     edgelist.write_matches(closed_form.triangles(g), str(tmp_path / "m"))
     lines = [r["value"] for r in spark.read.text(str(tmp_path / "m")).collect()]
     assert sorted(lines) == ["0 1 2 ", "1"]
+    big = spark.createDataFrame([(10, 11, 12), (9, 11, 12), (2, 30, 31)], "v0 long, v1 long, v2 long")
+    edgelist.write_matches(big, str(tmp_path / "big"))
+    parts = sorted((tmp_path / "big").glob("part-*"))
+    assert "".join(p.read_text() for p in parts).split("\n")[:-1] == ["3", "2 30 31 ", "9 11 12 ", "10 11 12 "]
+    assert sorted(map(tuple, edgelist.read_matches(spark, str(tmp_path / "big"), 3).collect())) == [(2, 30, 31), (9, 11, 12), (10, 11, 12)]
+    edgelist.write_parquet(g, str(tmp_path / "p"))
+    back = edgelist.read_parquet(spark, str(tmp_path / "p"))
+    assert sorted(map(tuple, back.vertices.collect())) == [(0, 5), (1, 6), (2, 5)] and back.edges.count() == 3
+
+
+def test_text_folder_and_single_vertex(spark, tmp_path):
+    lone = M.Graph.from_edges(spark.createDataFrame([], "u long, v long"), vertices=spark.createDataFrame([(0, 0)], "v long, label long"))
+    many = M.Graph.random(spark, 200, 900, 3)
+    for name, g in (("lone", lone), ("many", many)):
+        edgelist.write_text(g, str(tmp_path / name))
+        edgelist.write_binary(g, str(tmp_path / f"{name}.bin"))
+        for back in (edgelist.read_graph(spark, str(tmp_path / name)), edgelist.read_graph(spark, str(tmp_path / f"{name}.bin"))):
+            assert back.vertices.count() == g.vertices.count()
+            assert sorted(map(tuple, back.edges.collect())) == sorted(map(tuple, g.edges.collect()))
 
 
 def test_cli_and_sql(spark, tmp_path, capsys):
