@@ -137,4 +137,19 @@ from pages p left join forms f using (url) left join hits h using (url) left joi
 with g as (select coalesce(text, '') t, max(doc_id) keep_id, count(*) n from documents group by 1)
 select doc_id, keep_id, cast(n as bigint) group_size, doc_id = keep_id kept, sha256(g.t) text_sha256
 from documents d join g on coalesce(d.text, '') = g.t""",
+        "op7_jaccard_join": r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
+shingles as materialized (
+  select distinct doc_id, array_to_string(ws[i:i+3], ' ') g
+  from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) i from words where len(ws) > 0)),
+sizes as materialized (select doc_id, count(*) n from shingles group by 1),
+both_ as (select a.doc_id x, b.doc_id y, count(*) c from shingles a join shingles b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+links as materialized (
+  select x, y from both_ join sizes a on a.doc_id = x join sizes b on b.doc_id = y where 100 * c >= 85 * (a.n + b.n - c)),
+edges as (select x, y from links union all select y, x from links),
+reach(x, y) as (select x, x from edges union select r.x, e.y from reach r join edges e on r.y = e.x),
+least_ as (select x, min(y) least from reach group by 1)
+select w.doc_id, cast(coalesce(n, 0) as bigint) n_shingles, coalesce(least, w.doc_id) component_id
+from words w left join sizes s on s.doc_id = w.doc_id left join least_ l on l.x = w.doc_id""",
     }

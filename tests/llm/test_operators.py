@@ -245,6 +245,14 @@ def test_packing(docs, none):
             assert r["offset"] == at[r["sequence_id"]]
             at[r["sequence_id"]] += r["length"]
         assert max(at.values()) <= length
+        # Each id of each document lies in exactly one piece: every document is its pieces, end to end, once for each row.
+        cover = {}
+        for r in pieces:
+            cover.setdefault(r["doc_id"], Counter()).update(range(r["start"], r["start"] + r["length"]))
+        rows_of = Counter(i for i, _ in TEXTS)
+        assert all(cover[i] == Counter(dict.fromkeys(range(len(ids[i])), rows_of[i])) for i in rows_of)
+        for s, n in at.items():  # sequences are whole lines of ids, gapless
+            assert n == sum(r["length"] for r in pieces if r["sequence_id"] == s)
     unique = docs.dropDuplicates(["doc_id"]).where("doc_id is not null")
     cut = packing.pack(unique, length=64)
     total = packing.sequences(unique, cut).select(F.sum(F.size("ids"))).first()[0]
@@ -597,6 +605,39 @@ def test_secrets_take_private_keys_whole(spark):
     assert time.perf_counter() - start < 5
 
 
+def test_very_long_texts_and_clashing_columns(spark):
+    """Each operator takes whole texts far beyond a batch's usual row, and columns named like its own."""
+    rnd = random.Random(33)
+    long = " ".join(rnd.choice(WORDS) + str(rnd.randrange(3000)) for _ in range(120_000))
+    unbroken = "q" * 150_000
+    texts = [(1, long), (2, long + " tail"), (3, long), (4, unbroken), (5, unbroken + " x"), (6, "end token = 'k3yV4lu3XyZ99' " + long), (7, None)]
+    names = "sig key n m a b comp root set print prefix place top part start end k hash live span uid size shard slot law score kept keep_id group_size cell node _mg_row verdict host"
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for c in names.split():
+        df = df.withColumn(c, F.lit("x"))
+    by = {r["doc_id"]: r for r in quality.judge(df).collect()}
+    assert [by[i]["n_words"] for i, _ in texts] == [len(words(t)) for _, t in texts] and [by[i]["n_repeat_words"] for i, _ in texts[:1]] == [repeated(words(long))]
+    t = library()
+    want = {i: t.encode(x or "", add_special_tokens=False).ids for i, x in texts}
+    assert {r["doc_id"]: r["n_tokens"] for r in bpe.round_trip(df).collect()} == {i: len(x) for i, x in want.items()}
+    crc = {i: zlib.crc32(np.array([*x, 0], "<u4").tobytes()) for i, x in want.items()}
+    assert {r["doc_id"]: r["ids_crc32"] for r in records.round_trip(df).collect()} == crc
+    pieces = packing.pack(df).collect()
+    assert Counter({i: sum(r["length"] for r in pieces if r["doc_id"] == i) for i in want}) == Counter({i: len(x) + 1 for i, x in want.items()})
+    assert {(r["doc_id"], r["keep_id"]) for r in exact_dedup.duplicate_groups(df).collect()} == {(1, 3), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6), (7, 7)}
+    assert exact_dedup.drop_duplicates(df).columns == df.columns
+    assert Counter(map(tuple, jaccard.jaccard_components(df).collect())) == Counter(jaccard_brute(texts, 4, 85))
+    left = jaccard.drop_near_duplicates(df)
+    assert left.columns == df.columns and sorted(r["doc_id"] for r in left.select("doc_id").collect()) == [1, 4, 5, 7]
+    assert {r["doc_id"]: (r["n_assign"], r["n_live"]) for r in secrets.scan_secrets(df, owner=None).collect()}[6] == (1, 1)
+    clean = secrets.redact(df, owner=None)
+    assert clean.columns == df.columns and clean.where("doc_id = 6").select(F.length("text")).first()[0] == len(texts[5][1]) - len("token = 'k3yV4lu3XyZ99") + len("[SECRET]")
+    sizes = {r["doc_id"]: r["size"] for r in kdshard.assign_shards(df).collect()}
+    assert sizes == {i: len((x or "").encode()) + 1 for i, x in texts}
+    labels = spark.createDataFrame([(1, 1, 0), (4, 1, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.score_toxicity(df, labels).count() == len(texts)
+
+
 def test_shards(spark, docs, none):
     got = kdshard.assign_shards(docs).collect()
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in TEXTS)
