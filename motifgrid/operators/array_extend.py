@@ -2,7 +2,9 @@
 
 A bound vertex carries its neighbour array as long as a later vertex needs
 it, so a step is at most one equi-join on the new vertex and an
-intersection; wedges are never listed. The last vertex is counted, not listed.
+intersection; wedges are never listed. Where a later vertex needs all arrays
+of an earlier one, the earlier intersection goes along in their place and is
+only narrowed. The last vertex is counted, not listed.
 """
 
 from __future__ import annotations
@@ -22,28 +24,54 @@ def _seed(g: Graph, p: Pattern, order: list[int]) -> DataFrame:
     return g.adj.where(F.col("deg") >= len(p.adjacent[v])).select(F.col("u").alias(f"v{v}"), F.col("nb").alias(f"n{v}"))
 
 
-def _candidates(p: Pattern, order: list[int], at: int, rules: set[tuple[int, int]]) -> Column:
-    """Candidates of ``order[at]``, intersected anew at each step."""
+def _reuse(p: Pattern, order: list[int]) -> dict[int, tuple[frozenset[int], frozenset[int], frozenset[int]]]:
+    """For each vertex after the first: its placed neighbours, the largest part
+    of them (two or more) that an earlier vertex had for its own, and the rest."""
+    out: dict[int, tuple[frozenset[int], frozenset[int], frozenset[int]]] = {}
+    for at, v in enumerate(order[1:], 1):
+        back = frozenset(p.adjacent[v]) & set(order[:at])
+        ready = max((b for b, _, _ in out.values() if len(b) > 1 and b <= back), key=len, default=frozenset())
+        out[v] = back, ready, back - ready
+    return out
+
+
+def _name(back: frozenset[int]) -> str:
+    """The column of an intersection that is kept."""
+    return "i" + "_".join(map(str, sorted(back)))
+
+
+def _intersection(df: DataFrame, use: tuple[frozenset[int], frozenset[int], frozenset[int]]) -> Column:
+    back, ready, rest = use
+    if len(back) > 1 and _name(back) in df.columns:
+        return F.col(_name(back))
+    return intersect([*([F.col(_name(ready))] if ready else []), *[F.col(f"n{u}") for u in sorted(rest)]])
+
+
+def _candidates(df: DataFrame, p: Pattern, order: list[int], at: int, rules: set[tuple[int, int]]) -> Column:
+    """Candidates of ``order[at]``: the largest intersection already made, and the arrays that it lacks."""
     v, placed = order[at], order[:at]
-    back = frozenset(p.adjacent[v]) & set(placed)
-    arrays = [F.col(f"n{u}") for u in sorted(back)]
+    use = _reuse(p, order)[v]
     above = [F.col(f"v{u}") for u in placed if (u, v) in rules]
     below = [F.col(f"v{u}") for u in placed if (v, u) in rules]
-    other = [F.col(f"v{u}") for u in placed if u not in back and (u, v) not in rules and (v, u) not in rules]
-    return bounded(intersect(arrays), above, below, other)
+    other = [F.col(f"v{u}") for u in placed if u not in use[0] and (u, v) not in rules and (v, u) not in rules]
+    return bounded(_intersection(df, use), above, below, other)
 
 
 def _extend(g: Graph, p: Pattern, order: list[int], upto: int, rules: set[tuple[int, int]]) -> DataFrame:
-    """Matches of the first ``upto`` vertices, with the arrays that later ones need."""
+    """Matches of the first ``upto`` vertices, with the arrays and intersections that later ones need."""
     df = _seed(g, p, order)
-    needs = lambda u, at: any(u in p.adjacent[w] for w in order[at:])
+    uses = _reuse(p, order)
     adj = g.adj.select(F.col("u").alias("_u"), F.col("nb").alias("_nb"), F.col("deg").alias("_deg"))
     for at in range(1, upto):
         v = order[at]
-        df = df.withColumn(f"v{v}", F.explode(_candidates(p, order, at, rules)))
-        dead = [f"n{u}" for u in order[:at] if f"n{u}" in df.columns and not needs(u, at + 1)]
-        df = df.drop(*dead)
-        if needs(v, at + 1):
+        later = [uses[w] for w in order[at + 1 :]]
+        back = uses[v][0]
+        if any(back == ready for _, ready, _ in later) and _name(back) not in df.columns:
+            df = df.withColumn(_name(back), _intersection(df, uses[v]))
+        df = df.withColumn(f"v{v}", F.explode(_candidates(df, p, order, at, rules)))
+        alive = {f"n{u}" for _, _, rest in later for u in rest} | {_name(ready) for _, ready, _ in later if ready}
+        df = df.drop(*[c for c in df.columns if c[0] in "ni" and c not in alive])
+        if f"n{v}" in alive:
             own = adj.where(F.col("_deg") >= len(p.adjacent[v])).select("_u", F.col("_nb").alias(f"n{v}"))
             df = df.join(own, F.col(f"v{v}") == F.col("_u")).drop("_u")
     return df
@@ -64,7 +92,7 @@ def count(g: Graph, p: Pattern, order: list[int] | None = None, rules=None) -> D
     if p.n == 1:
         return g.vertices.agg(F.count("*").alias("n_matches"))
     df = _extend(g, p, order, p.n - 1, rules)
-    last = F.size(_candidates(p, order, p.n - 1, rules)).cast("long")
+    last = F.size(_candidates(df, p, order, p.n - 1, rules)).cast("long")
     return df.agg(F.coalesce(F.sum(last), F.lit(0)).cast("long").alias("n_matches"))
 
 

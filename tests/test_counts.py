@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import motifgrid as M
-from motifgrid.operators import closed_form, structure
+from motifgrid.operators import array_extend, closed_form, structure
 from motifgrid.queries import PATTERNS, pattern
 from motifgrid.streaming.edges import TriangleFeed
 
@@ -96,3 +96,14 @@ def test_stream_feed(spark, tmp_path):
 def test_plan_text(spark):
     text = M.explain(graph(spark, SMALL["k5"]), pattern("hp8_ladder"))
     assert "strategy:" in text and "rules:" in text
+
+
+def test_intersections_are_reused(spark):
+    """Of a clique's arrays only the last one is carried beside the intersection so far."""
+    p = M.Pattern.of([(a, b) for a in range(5) for b in range(a)])
+    uses = array_extend._reuse(p, [0, 1, 2, 3, 4])
+    assert [uses[v][1:] for v in (2, 3, 4)] == [(frozenset(), {0, 1}), ({0, 1}, {2}), ({0, 1, 2}, {3})]
+    g = M.Graph.random(spark, 25, 200, 5)
+    df = array_extend._extend(g, p, [0, 1, 2, 3, 4], 4, set())
+    assert sorted(c for c in df.columns if c[0] != "v") == ["i0_1_2", "n3"]
+    assert one(array_extend.count(g, p)) == one(M.count(g, p, "sql_join"))
