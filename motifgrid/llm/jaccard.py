@@ -233,12 +233,27 @@ def _subset_entries(small: DataFrame, boundary: int, t: Threshold) -> DataFrame:
     return small.where(F.col("n") <= boundary).select("key", "n", "small").mapInArrow(show, "sig long, key binary, n long, place int")
 
 
+def _entries(batches: Iterator[pa.RecordBatch], repeated) -> Iterator[pa.RecordBatch]:
+    """(sig, key, n, place) for the shingles of each prefix that the filter has."""
+    for batch in batches:
+        keys, sizes, lists = batch.columns
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        start = 0
+        while start < batch.num_rows:  # about 500,000 shingles at once
+            end = max(start + 1, int(np.searchsorted(ends, ends[start] + 500_000, "right")) - 1)
+            sigs = lists.values.slice(ends[start], ends[end] - ends[start]).to_numpy()
+            at = np.flatnonzero(in_filter(sigs, repeated))
+            row = np.searchsorted(ends, at + ends[start], "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(sigs[at]), keys.take(pa.array(row)), sizes.take(pa.array(row)), pa.array((at + ends[start] - ends[row]).astype(np.int32))], ["sig", "key", "n", "place"])
+            start = end
+    trim()
+
+
 def _lists(shown: DataFrame, t: Threshold) -> DataFrame:
     """The lists of two and more: (sig, key, n, place, top, m), where ``top`` is the
     largest partner that the entry may stand for and ``m`` the list's length."""
-    each = shown.select(F.posexplode("prefix").alias("place", "sig"), "key", "n").select("sig", "key", "n", "place")
-    repeated = repeat_filter(each.select("sig"), shown.agg(F.sum(F.size("prefix"))).first()[0] or 0, probes=2)
-    entries = stage(each.where(maybe_repeated(F.col("sig"), repeated)))
+    repeated = repeat_filter(shown.select(F.explode("prefix").alias("sig")), shown.agg(F.sum(F.size("prefix"))).first()[0] or 0, probes=2)
+    entries = stage(shown.select("key", "n", "prefix").mapInArrow(lambda it: _entries(it, repeated), "sig long, key binary, n long, place int"))
 
     # The boundary, by the true lengths of the lists that small sets stand in.
     lengths = entries.groupBy("sig").agg(F.count("*").alias("m"))
