@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import motifgrid as M
-from motifgrid.operators import array_extend, closed_form, structure
+from motifgrid.operators import array_extend, closed_form, kernel, structure
 from motifgrid.queries import PATTERNS, pattern
 from motifgrid.streaming.edges import TriangleFeed
 
@@ -53,6 +53,19 @@ def test_every_strategy_against_brute_force(spark):
         assert one(M.count(g, p, iep=True)) == want
 
 
+def test_kernel_beyond_its_budget(spark):
+    """Blocks of first vertices, also where one vertex's lists are split into pieces (a share of 20 entries)."""
+    rnd = random.Random(4)
+    edges = [(a, b) for a, b in itertools.combinations(range(-3, 6), 2) if rnd.random() < 0.5]
+    g = graph(spark, edges).cache()
+    for name, share in (("p1_c4", 20), ("p1_c4", 500), ("p4_house", 500), ("six_15", 500)):
+        p = pattern(name)
+        blocks = kernel._first_blocks(g, p, kernel._order(p), 32 * share).select("block.pieces").collect()
+        assert (max(r[0] for r in blocks) > 1) == (share == 20)
+        assert one(kernel._blocks(g, p, kernel._order(p), set(p.rules(first=kernel._order(p))), 32 * share)) == brute(edges, p), name
+    assert one(kernel.count(g, pattern("p2_diamond"), 32 * 20)) == brute(edges, pattern("p2_diamond"))
+
+
 def test_empty_graph_loops_and_disconnected(spark):
     g = graph(spark, [])
     assert one(closed_form.triangle(g)) == 0 and one(M.count(g, pattern("p1_c4"), "array_extend")) == 0
