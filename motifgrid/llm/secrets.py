@@ -6,14 +6,12 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import join_groups, stage
+from .support import join_groups, stage, trim
 
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
@@ -43,8 +41,12 @@ BASE = 3
 EXAMPLE_OWNERS = 5
 LIVE_ENTROPY = 2.5
 
-FINDING = "struct<start:int,k:int,end:int,hash:string,entropy:double>"
-SCANNED = f"uid long, n_assign long, n_access long, n_hex long, base_sha256 string, findings array<{FINDING}>"
+FINDING = pa.struct([("start", pa.int32()), ("k", pa.int32()), ("end", pa.int32()), ("hash", pa.string()), ("entropy", pa.float64())])
+SCANNED = pa.struct([("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("findings", pa.list_(FINDING))])
+SCANNED_SQL = "n_assign long, n_access long, n_hex long, base_sha256 string, findings array<struct<start:int,k:int,end:int,hash:string,entropy:double>>"
+
+#: Texts whose results a worker holds as Python objects at once.
+HELD = 500
 
 
 def entropy(value: str) -> float:
@@ -83,20 +85,40 @@ def _line(found: list) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b, _ in found)
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for uid, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            text = body.as_py() or ""
-            found = find_spans(text)
-            base = [x for x in found if x[1] < BASE]
-            n = Counter(x[1] for x in base)
-            listed = [{"start": a, "k": k, "end": b, "hash": hashlib.sha256(v.encode()).hexdigest(), "entropy": entropy(v)} for a, k, b, v in found + bare_values(text, found)]
-            rows.append((uid, n[0], n[1], n[2], hashlib.sha256(_line(base).encode()).hexdigest(), listed))
-        finding = pa.list_(pa.struct([("start", pa.int32()), ("k", pa.int32()), ("end", pa.int32()), ("hash", pa.string()), ("entropy", pa.float64())]))
-        kinds = [pa.int64()] * 4 + [pa.string(), finding]
-        names = ["uid", "n_assign", "n_access", "n_hex", "base_sha256", "findings"]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+def _scanned_text(text: str) -> tuple:
+    found = find_spans(text)
+    base = [x for x in found if x[1] < BASE]
+    n = Counter(x[1] for x in base)
+    listed = [(a, k, b, hashlib.sha256(v.encode()).hexdigest(), entropy(v)) for a, k, b, v in found + bare_values(text, found)]
+    return n[0], n[1], n[2], hashlib.sha256(_line(base).encode()).hexdigest(), listed
+
+
+def _by_parts(n: int, part, kind: pa.DataType) -> pa.Array:
+    """``part(start, end)`` for the rows of a batch, some at a time: as Python objects, only these are held."""
+    done = pa.concat_arrays([pa.array(part(k, min(n, k + HELD)), kind) for k in range(0, n, HELD)]) if n else pa.array([], kind)
+    trim()
+    return done
+
+
+def scan_batch(body: pa.Array) -> pa.Array:
+    """The scan's columns (SCANNED) of each text; only one text at a time leaves the batch."""
+    return _by_parts(len(body), lambda a, b: [_scanned_text(body[i].as_py() or "") for i in range(a, b)], SCANNED)
+
+
+def mask_batch(body: pa.Array, cut: pa.Array, mask: str) -> pa.Array:
+    """The texts with their spans (ascending) masked, overlapping ones as one; a null text stays null."""
+
+    def masked(t: str | None, spans: list | None) -> str | None:
+        if t is None:
+            return None
+        parts, end = [], 0
+        for s in spans or ():
+            if s["start"] >= end:
+                parts += [t[end : s["start"]], mask]
+            end = max(end, s["end"])
+        return "".join([*parts, t[end:]])
+
+    return _by_parts(len(body), lambda a, b: [masked(body[i].as_py(), cut[i].as_py()) for i in range(a, b)], pa.string())
 
 
 def ownership(findings: DataFrame) -> DataFrame:
@@ -114,18 +136,23 @@ def ownership(findings: DataFrame) -> DataFrame:
     return all_.withColumn("live", F.col("named") & (F.col("n_owners") < EXAMPLE_OWNERS) & (F.col("entropy") >= LIVE_ENTROPY))
 
 
-def _scanned(docs: DataFrame, doc_id: str, text: str, owner: str | None, keep: list) -> DataFrame:
-    """Staged: the scan's columns beside uid, doc_id, owner and ``keep``."""
+def _scanned(docs: DataFrame, doc_id: str, text: str, owner: str | None, keep: bool) -> DataFrame:
+    """Staged: the scan's columns beside uid, doc_id, owner and, to ``keep``, the whole row as ``_mg_row``.
+
+    A row waits in the JVM while Python has its text, so it holds the text once.
+    """
     holder = F.col(owner).cast("string") if owner else F.lit(None).cast("string")
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(holder, F.lit("")).alias("owner"), F.monotonically_increasing_id().alias("uid"), F.col(text).alias("body"), *keep)
+    own = F.col(doc_id).alias("doc_id"), F.coalesce(holder, F.lit("")).alias("owner"), F.monotonically_increasing_id().alias("uid")
+    if keep:
+        base, body = docs.select(*own, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_mg_row")), F.col("_mg_row")[text]
+    else:
+        base, body = docs.select(*own, F.col(text).alias("body")), F.col("body")
 
-    @F.pandas_udf(SCANNED.replace("uid long, ", ""))
-    def scan_text(body: pd.Series) -> pd.DataFrame:
-        batch = pa.RecordBatch.from_arrays([pa.array(range(len(body)), pa.int64()), pa.array(body, pa.string())], ["uid", "text"])
-        out = next(_scan(iter([batch])))
-        return pd.DataFrame({n: out.column(i).to_pylist() for i, n in enumerate(out.schema.names) if n != "uid"})
+    @F.arrow_udf(SCANNED_SQL)
+    def scan_text(body: pa.Array) -> pa.Array:
+        return scan_batch(body)
 
-    return stage(base.withColumn("s", scan_text("body")).select("uid", "doc_id", "owner", "s.*", *[k for k in base.columns if k not in ("uid", "doc_id", "owner", "body")]))
+    return stage(base.withColumn("s", scan_text(body)).select("uid", "doc_id", "owner", "s.*", *["_mg_row"] * keep))
 
 
 def _verdicts(scanned: DataFrame) -> DataFrame:
@@ -152,7 +179,7 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ow
     count as one repository. Other columns are not read, whatever their
     names. An empty table gives an empty result.
     """
-    scanned = _scanned(docs, doc_id, text, owner, [])
+    scanned = _scanned(docs, doc_id, text, owner, keep=False)
     found = _verdicts(scanned).where("named")
     span = F.struct("start", "k", "end")
     listed = F.collect_list(F.when((F.col("k") < BASE) | F.col("live"), span))
@@ -173,27 +200,20 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: s
     and no document is dropped. ``n_chars``, if present, follows the text.
     """
     cols = docs.columns
-    row = F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_mg_row")
-    scanned = _scanned(docs, doc_id, text, owner, [row])
+    scanned = _scanned(docs, doc_id, text, owner, keep=True)
     found = _verdicts(scanned).where("live")
     spans = found.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cut"))
     joined = scanned.select("uid", "_mg_row", F.size("findings").alias("n"))
     clean = joined.where("n = 0").select("_mg_row.*")
     dirty = joined.where("n > 0").join(spans, "uid", "left")
 
-    @F.pandas_udf("string")
-    def masked(body: pd.Series, cut: pd.Series) -> pd.Series:
-        out = []
-        for t, spans in zip(body, cut, strict=True):
-            parts, end = [], 0
-            for s in spans if spans is not None else ():
-                if s["start"] >= end:
-                    parts += [t[end : s["start"]], mask]
-                end = max(end, s["end"])
-            out.append("".join([*parts, t[end:]]) if t is not None else None)
-        return pd.Series(out)
-
-    fixed = dirty.withColumn("_mg_text", masked(F.col("_mg_row")[text], "cut"))
+    @F.arrow_udf("string")
+    def masked(body: pa.Array, cut: pa.Array) -> pa.Array:
+        return mask_batch(body, cut, mask)
+
+    # Texts with nothing to mask stay in the JVM.
+    cut, body = F.col("cut"), F.col("_mg_row")[text]
+    fixed = dirty.withColumn("_mg_text", F.when(cut.isNull(), body).otherwise(masked(F.when(cut.isNotNull(), body), cut)))
     new = {text: F.col("_mg_text")}
     if "n_chars" in cols:
         new["n_chars"] = F.when(F.col("cut").isNull(), F.col("_mg_row.n_chars")).otherwise(F.length("_mg_text").cast(docs.schema["n_chars"].dataType))

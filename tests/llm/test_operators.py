@@ -1,11 +1,14 @@
+import contextlib
 import hashlib
 import random
 import re
+import threading
 import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import psutil
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -687,3 +690,29 @@ def test_shards_are_the_leaves_of_the_tree(spark):
     for r in got:
         shards_of.setdefault(r["text_crc32"], set()).add(r["shard"])
     assert sum(len(x) > 1 for x in shards_of.values()) <= 7
+
+
+def test_secret_workers_hold_a_batch_once(spark):
+    """Beside the batches that Spark sends and gets back, a worker holds few texts: 60 MB of them, all masked, cost it less than 250 MB."""
+    n, size = 2000, 30_000
+    key = F.concat(F.lit("token = 'k3yV4lu3Xy"), "id", F.lit("' "))
+    docs = spark.range(0, n, 1, 1).select(F.col("id").alias("doc_id"), F.concat(key, F.repeat(F.lit("river "), size // 6)).alias("text"), F.lit("s").alias("source"))
+    first, most, done = {}, [0], threading.Event()
+
+    def watch():
+        while not done.wait(0.02):
+            for p in psutil.Process().children(recursive=True):
+                with contextlib.suppress(psutil.Error):
+                    if "python" in p.name():
+                        rss = p.memory_info().rss
+                        most[0] = max(most[0], rss - first.setdefault(p.pid, rss))
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        left = secrets.redact(docs).agg(F.count("*"), F.count_if(F.col("text").startswith("[SECRET]' river")), F.min(F.length("text"))).first()
+    finally:
+        done.set()
+        watcher.join()
+    assert tuple(left) == (n, n, size + len("[SECRET]' "))
+    assert 0 < most[0] < 250e6, most[0]
